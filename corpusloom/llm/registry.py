@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import quality, toxicity
+from corpusloom.llm import media, quality, secrets, toxicity
 from corpusloom.llm.shared import fold
 from corpusloom.session import table
 
@@ -28,9 +28,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return secrets.scan(documents, secrets.train(secrets.samples(documents)))
+
+
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     key = fold(F.col("doc_id"), 4)
     scored = quality.fit_and_score(documents, table(spark, sf_dir, "labels"), fit_rows=key.isin(0, 1), calibrate_rows=key == 3)
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(table(spark, sf_dir, "documents"))
