@@ -293,14 +293,14 @@ def place(rows: DataFrame, config: Config = Config()) -> DataFrame:
 
     table = slots(plan(histogram, config))
     length_at, first, times, sequence, offset = (table[c].to_numpy() for c in ("length", "first", "times", "sequence", "offset"))
-    key = length_at * (1 << 40) + first
+    key, columns = length_at * (1 << 40) + first, rows.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             length, number = frame["length"].to_numpy(), frame["_number"].to_numpy()
             at = np.searchsorted(key, length * (1 << 40) + number, "right") - 1
             within = number - first[at]
-            out = frame[rows.columns].copy()
+            out = frame[columns].copy()
             out["sequence_id"] = sequence[at] + within // times[at]
             out["offset"] = offset[at] + within % times[at] * length
             yield out
