@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import media, packing, pieces, quality, secrets, toxicity
+from corpusloom.llm import licenses, media, packing, pieces, quality, secrets, toxicity
 from corpusloom.llm.shared import fold
 from corpusloom.session import table
 
@@ -56,3 +56,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return licenses.by_document(documents, licenses.scan(documents, licenses.fit(documents)))
