@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import licenses, media, packing, pieces, quality, secrets, toxicity, vector_join
+from corpusloom.llm import jaccard_join, licenses, media, packing, pieces, quality, secrets, toxicity, vector_join
 from corpusloom.llm.shared import fold
 from corpusloom.session import table
 
@@ -63,6 +63,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
