@@ -83,49 +83,62 @@ def stored_blocks(documents: DataFrame, name: str) -> DataFrame:
     return written(known.mapInPandas(run, "block long, payload binary"), name)
 
 
-def asked(blocks: DataFrame, keys: Callable[[Block], tuple[np.ndarray, np.ndarray]], shards: int, bits: int) -> DataFrame:
-    """(shard, block, request): keys() gives a block's different keys of so many bits in order, and a number for each, which are split by range of the key."""
+#: What a block sends with keys a to b of its keys.
+Extra = Callable[[int, int], list[np.ndarray]]
+Parts = list[list[np.ndarray]]
+
+
+def asked(blocks: DataFrame, keys: Callable[[bytes], tuple[np.ndarray, Extra]], edges: np.ndarray) -> DataFrame:
+    """(shard, block, request): keys() gives the different keys of a payload in ascending order, dealt out to the ranges that begin at edges."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for block, payload in zip(frame["block"], frame["payload"], strict=True):
-                key, number = keys(Block(payload))
-                edges = np.searchsorted(key, shard_edges(shards, bits))
-                rows = []
-                for s in range(shards):
-                    own = key[edges[s] : edges[s + 1]]
-                    if len(own):
-                        rows.append((s, block, packed(np.diff(own, prepend=np.uint64(0)), number[edges[s] : edges[s + 1]])))
+                key, extra = keys(payload)
+                cut = np.append(np.searchsorted(key, edges), len(key))
+                cut[0] = 0
+                rows = [(s, block, packed(np.diff(key[a:b], prepend=np.uint64(0)), *extra(a, b))) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
                 yield pd.DataFrame(rows, columns=["shard", "block", "request"])
 
     return blocks.mapInPandas(run, "shard int, block long, request binary")
 
 
-def shard_edges(shards: int, bits: int) -> np.ndarray:
-    """Where each shard's keys begin, and where the last one's end (as far as 64 bits go)."""
-    return np.array([min((s << bits) // shards, 2**64 - 1) for s in range(shards + 1)], np.uint64)
+def even_edges(shards: int, bits: int) -> np.ndarray:
+    """Where ranges of equal width begin, for hashed keys of so many bits."""
+    return np.array([(s << bits) // shards for s in range(shards)], np.uint64)
 
 
-def answered(requests: DataFrame, answer: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str) -> DataFrame:
-    """(block, answers), written: answers is a list of (shard, packed), with a value for each key that the block asked about.
+def answered(requests: DataFrame, answer: Callable[[Parts], tuple[Parts, list[np.ndarray]]], name: str) -> DataFrame:
+    """(block, shard, answer), written: the arrays that answer() gives for each request, and under block -1 those about the shard.
 
-    answer() gets all of a shard's keys, as often as they were asked, with their
-    numbers, and returns a value for each. A shard's size is bounded by the
-    number of shards, which grows with the input.
+    answer() gets a shard's requests together, each as its keys and extra arrays.
+    A shard's size is bounded by the number of shards, which grows with the input.
     """
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         parts = [unpacked(r) for r in shard["request"]]
-        keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        value = answer(keys, np.concatenate([p[1] for p in parts]))
-        stop = np.cumsum([len(p[0]) for p in parts])
-        return pd.DataFrame({"block": shard["block"], "shard": shard["shard"], "answer": [packed(v) for v in np.split(value, stop[:-1])]})
+        for p in parts:
+            p[0] = np.cumsum(p[0], dtype=np.uint64)
+        answers, about = answer(parts)
+        return pd.DataFrame({"block": [*shard["block"], -1], "shard": shard["shard"].iloc[0], "answer": [packed(*a) for a in [*answers, about]]})
+
+    return written(requests.groupBy("shard").applyInPandas(run, "block long, shard int, answer binary"), name)
+
+
+def by_block(answers: DataFrame) -> DataFrame:
+    """(block, answers) with a block's answers in the order of its keys."""
+    return answers.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "answer"))).alias("answers"))
+
+
+def about_shards(answers: DataFrame) -> list[tuple[int, list[np.ndarray]]]:
+    """(shard, arrays) of all shards: a few numbers each."""
+    return sorted((r.shard, unpacked(bytes(r.answer))) for r in answers.where("block = -1").select("shard", "answer").collect())
+
 
-    answers = requests.groupBy("shard").applyInPandas(run, "block long, shard int, answer binary")
-    return written(answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "answer"))).alias("answers")), name)
+def answer_of(answers: list | None) -> list[list[np.ndarray]]:
+    """Each shard's number and arrays, for a block's keys in order."""
+    return [[np.int64(a["shard"]), *unpacked(a["answer"])] for a in answers] if answers is not None else []
 
 
-def answer_of(answers: list) -> np.ndarray:
-    """The values for a block's keys, in the order of the keys."""
-    parts = [unpacked(a["answer"])[0] for a in answers] if answers is not None else []
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+def split_like(values: np.ndarray, parts: Parts) -> list[np.ndarray]:
+    return np.split(values, np.cumsum([len(p[0]) for p in parts])[:-1])

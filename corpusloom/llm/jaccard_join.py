@@ -32,9 +32,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.blocks import Block, answer_of, answered, asked, stored_blocks
+from corpusloom.llm.blocks import Block, Extra, Parts, answer_of, answered, asked, by_block, even_edges, split_like, stored_blocks
 from corpusloom.llm.components import components
-from corpusloom.llm.shared import input_partitions, written
+from corpusloom.llm.shared import discard, input_partitions, written
 from corpusloom.llm.words import mix
 
 KEY_BITS = 40
@@ -116,11 +116,12 @@ def sets_of(blocks: DataFrame, config: Config) -> DataFrame:
     return blocks.mapInPandas(run, "block long, place int, doc_id long, n long, s1 long, s2 long")
 
 
-def _rarity(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+def _rarity(parts: Parts) -> tuple[Parts, list[np.ndarray]]:
     """0 for a key that one set holds, else more for more sets, in eighths of powers of two."""
-    _, at = np.unique(keys, return_inverse=True)
-    total = np.bincount(at, weights=numbers)
-    return np.where(total > 1, np.minimum(255, np.floor(8 * np.log2(total))), 0).astype(np.uint8)[at]
+    _, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate([p[1] for p in parts]))
+    level = np.where(total > 1, np.minimum(255, np.floor(8 * np.log2(total))), 0).astype(np.uint8)
+    return [[v] for v in split_like(level[at], parts)], []
 
 
 def joined(documents: DataFrame, config: Config = Config()) -> DataFrame:
@@ -131,21 +132,21 @@ def joined(documents: DataFrame, config: Config = Config()) -> DataFrame:
     classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "block", "place")).alias("first"))
     chosen = classes.select(F.col("first.block").alias("block"), F.struct(F.col("first.place").alias("place"), F.col("first.doc_id").alias("rep")).alias("c")).groupBy("block").agg(F.collect_list("c").alias("chosen"))
 
-    def keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    def keys(payload: bytes) -> tuple[np.ndarray, Extra]:
         # Copies within the block count once; copies elsewhere make a shingle look less rare, which loses nothing.
-        own = {signature(s): s for s in shingles(block, config.size)}
+        own = {signature(s): s for s in shingles(Block(payload), config.size)}
         key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *own.values()]) >> np.uint64(64 - KEY_BITS), return_counts=True)
-        return key, n.astype(np.int32)
+        return key, lambda a, b: [n[a:b].astype(np.int32)]
 
-    answers = answered(asked(blocks, keys, shards, KEY_BITS), _rarity, "jaccard-rarity")
+    answers = answered(asked(blocks, keys, even_edges(shards, KEY_BITS)), _rarity, "jaccard-rarity")
 
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for payload, own, reply in zip(frame["payload"], frame["chosen"], frame["answers"], strict=True):
                 block = Block(payload)
                 all_sets = shingles(block, config.size)
-                key, _ = keys(block)
-                rarity = answer_of(reply)
+                key, _ = keys(payload)
+                rarity = np.concatenate([a[1] for a in answer_of(reply)])
                 parts, whole = [], []
                 for c in own:
                     s, rep = all_sets[c["place"]], c["rep"]
@@ -157,8 +158,10 @@ def joined(documents: DataFrame, config: Config = Config()) -> DataFrame:
                         whole.append((0, rep, len(s), 0, s.tobytes()))
                 yield pd.concat([*parts, pd.DataFrame(whole, columns=["key", "rep", "n", "position", "hashes"])])
 
-    with_answers = blocks.join(chosen, "block").join(answers, "block")
+    with_answers = blocks.join(chosen, "block").join(by_block(answers), "block")
     found = written(with_answers.mapInPandas(prefixes, "key long, rep long, n long, position long, hashes binary"), "jaccard-prefixes")
+    discard(blocks)
+    discard(answers)
     entries, whole = found.where("hashes is null").drop("hashes"), found.where("hashes is not null").select("rep", "hashes")
     # A shingle in one prefix only leads nowhere.
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import jaccard_join, licenses, media, packing, pieces, quality, secrets, toxicity, vector_join
+from corpusloom.llm import jaccard_join, licenses, media, ngram_lm, packing, pieces, quality, secrets, toxicity, vector_join
 from corpusloom.llm.shared import fold
 from corpusloom.session import table
 
@@ -45,6 +45,11 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.scored(table(spark, sf_dir, "documents"), ngram_lm.held_out_by_crc(5, 1))
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

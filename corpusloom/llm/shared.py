@@ -52,3 +52,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     return documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table made by written() that no later step reads: what was made from it must be written by now."""
+    files = df.inputFiles()
+    if files:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
