@@ -201,6 +201,20 @@ def joined(documents: DataFrame, config: Config = Config()) -> DataFrame:
     return sets.join(by_class, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
 
 
+def one_of_each(documents: DataFrame, config: Config = Config()) -> DataFrame:
+    """The rows of documents without those linked with a smaller doc_id; of rows that repeat a doc_id one stays.
+
+    Rows without words are linked with nothing, so they stay, as do rows without doc_id.
+    """
+    found = written(joined(documents, config), "jaccard-found")
+    out = documents.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(documents.columns)
+    repeated = written(found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "jaccard-repeated")
+    if repeated.isEmpty():
+        return out
+    single = out.join(repeated, "doc_id", "left_anti").select(documents.columns)
+    return single.union(out.join(repeated, "doc_id", "left_semi").select(documents.columns).dropDuplicates(["doc_id"]))
+
+
 def _pair(rep: str, n: str, position: str, label: str, suffix: str = "") -> list:
     return [F.col(rep).alias(f"r{suffix}"), F.col(n).alias(f"n{suffix}"), F.col(position).alias(f"p{suffix}"), F.col(label).alias(f"label{suffix}")]
 

@@ -222,10 +222,24 @@ def score(stats: DataFrame, model: Model, config: Config = Config()) -> DataFram
     return stats.select("doc_id", "stats").mapInPandas(run, "doc_id long, score double, predicted int")
 
 
-def fit_and_score(documents: DataFrame, labels: DataFrame, fit_rows: Column, calibrate_rows: Column, config: Config = Config()) -> DataFrame:
-    """Score every row of documents, learning from labels where the two columns over doc_id hold."""
-    stats = written(with_statistics(documents), "quality-stats")
+def learn(stats: DataFrame, labels: DataFrame, fit_rows: Column, calibrate_rows: Column, config: Config = Config()) -> Model:
+    """Learn from (doc_id, stats) and labels, where the two columns over doc_id hold."""
     use = F.when(fit_rows, "fit").when(calibrate_rows, "calibrate")
     rows = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label")).withColumn("use", use).where("use is not null")
-    learned = written(stats.join(rows, "doc_id").select("stats", "label", "use"), "quality-rows")
-    return score(stats, fit(learned, config), config)
+    return fit(written(stats.join(rows, "doc_id").select("stats", "label", "use"), "quality-rows"), config)
+
+
+def fit_and_score(documents: DataFrame, labels: DataFrame, fit_rows: Column, calibrate_rows: Column, config: Config = Config()) -> DataFrame:
+    """Score every row of documents."""
+    stats = written(with_statistics(documents), "quality-stats")
+    return score(stats, learn(stats, labels, fit_rows, calibrate_rows, config), config)
+
+
+def kept(documents: DataFrame, model: Model, config: Config = Config()) -> DataFrame:
+    """The rows of documents that are predicted to be of quality, as they are; all of them, if there was nothing to learn from."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, texts in chunks(frames):
+            yield rows if model.beta is None else rows[model.probability(statistics(texts), config) >= THRESHOLD]
+
+    return documents.mapInPandas(run, documents.schema)
