@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpusloom.queries.registry import ORACLES, QUERIES
+from corpusloom.queries import events, gates, matching, planning, ranges, relational, retrieval, search, structured  # noqa: F401  they register themselves
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
