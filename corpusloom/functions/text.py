@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,10 +34,19 @@ def ocr_tokens(text: Column) -> Column:
     return F.filter(tokens(ocr_body(text)), lambda t: ~t.rlike("^[0-9]+$"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row however often body (or a lambda in it) reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shingles(words: Column, n: int) -> Column:
     """Different runs of n words, joined by blanks."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+
+    def of(w: Column) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - F.lit(n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    return F.array_distinct(let(words, of))
 
 
 def fnv1a32(text: Column) -> Column:
