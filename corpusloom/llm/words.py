@@ -19,6 +19,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 2**64))
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 CHUNK = 3_000_000
+WINDOW = 1 << 18
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,18 +58,31 @@ class Words:
         self.start, self.end = change[::2], change[1::2]
         self.doc = np.searchsorted(self.text_end, self.start, "right")
         self.per_doc = np.bincount(self.doc, minlength=len(texts))
-        self._sums: np.ndarray | None = None
 
-    def hashes(self, end: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word (up to `end`, if given): a polynomial of its bytes, taken from prefix sums, then mixed."""
-        power, inverse = _power_tables(len(self.data) + 1)
-        end = self.end if end is None else np.minimum(end, self.end)
-        with np.errstate(over="ignore"):
-            if self._sums is None:
-                self._sums = np.zeros(len(self.data) + 1, np.uint64)
-                np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[: len(self.data)], out=self._sums[1:])
-            h = (self._sums[end] - self._sums[self.start]) * inverse[self.start]
-            return mix(h + (end - self.start).astype(np.uint64))
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        return self.hashes_to([self.end])[0]
+
+    def hashes_to(self, ends: list[np.ndarray]) -> list[np.ndarray]:
+        """For each array of ends, hashes of the words up to there: a polynomial of the bytes, taken from prefix sums, then mixed.
+
+        Words are taken some WINDOW bytes at a time, so that the sums stay small.
+        """
+        ends = [np.minimum(e, self.end) for e in ends]
+        out = [np.empty(len(self.start), np.uint64) for _ in ends]
+        cuts = np.searchsorted(self.start, np.arange(0, len(self.data), WINDOW))
+        for a, b in zip(cuts, np.append(cuts[1:], len(self.start)), strict=True):
+            if a == b:
+                continue
+            first, last = self.start[a], self.end[b - 1]
+            power, inverse = _power_tables(last - first + 1)
+            sums, s = np.zeros(last - first + 1, np.uint64), self.start[a:b] - first
+            with np.errstate(over="ignore"):
+                np.cumsum((self.data[first:last].astype(np.uint64) + np.uint64(1)) * power[: last - first], out=sums[1:])
+                for o, e in zip(out, ends, strict=True):
+                    t = e[a:b] - first
+                    o[a:b] = mix((sums[t] - sums[s]) * inverse[s] + (t - s).astype(np.uint64))
+        return out
 
 
 def hash_words(words: list[str]) -> np.ndarray:
