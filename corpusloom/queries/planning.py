@@ -1 +1,41 @@
+"""Plans over units (orders of one source) and their calendar."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.plans import calendar
+from corpusloom.queries.registry import query
+from corpusloom.session import table
+
+
+@query("""select d::int as day, floor(d * 150 / 24.0)::int as first, (floor((d + 1) * 150 / 24.0) - 1)::int as last,
+strftime(date '2024-02-05' + ((d // 3) * 7 + [0, 2, 4][d % 3 + 1])::int, '%Y-%m-%d') as date from generate_series(0, 23) t(d)""")
+def plan_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = calendar.reading_days(spark, "2024-02-05", 8, [0, 2, 4])
+    return calendar.dealt(spark, 150, 24).join(days, "day").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@query("""with u as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as i from orders where o_custkey = 7), n as (select count(*) as n from u)
+select o_orderkey, (i * 2) // greatest(n, 2) as day from u, n""")
+def plan_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units of one source in order, over two days."""
+    from pyspark.sql import Window
+
+    u = table(spark, sf_dir, "orders").where("o_custkey = 7").select("o_orderkey")
+    by = Window.partitionBy(F.lit(7)).orderBy("o_orderkey")
+    n = F.greatest(F.count("*").over(Window.partitionBy(F.lit(7))), F.lit(2))
+    return u.withColumn("day", F.floor((F.row_number().over(by) - 1) * 2 / n).cast("long"))
+
+
+@query("select o_orderkey, strftime(o_orderdate::date + 14, '%Y-%m-%d') as date, o_orderdate::date + 14 > date '1998-01-01' as late from orders where o_orderstatus = 'O'")
+def plan_reschedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.date_add(F.to_date("o_orderdate"), 14)
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey", F.date_format(moved, "yyyy-MM-dd").alias("date"), (moved > F.lit("1998-01-01").cast("date")).alias("late"))
+
+
+@query("select o_custkey, count(*) as n_units, count(*) filter (where o_orderstatus = 'F') as n_done, min(case when o_orderstatus <> 'F' then o_orderkey end) as next_unit from orders group by 1")
+def plan_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = F.col("o_orderstatus") == "F"
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_units"), F.count_if(done).alias("n_done"), F.min(F.when(~done, F.col("o_orderkey"))).alias("next_unit"))
