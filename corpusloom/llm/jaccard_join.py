@@ -9,7 +9,8 @@ shingle is asked of the tasks that own ranges of a 40-bit key; a shingle that
 only one holds can't be shared and is dropped. A class's shingles in order of
 rarity, then hash, give a prefix such that similar classes share one of its
 shingles. Pairs with a common prefix shingle pass the length and positional
-filters, then the suffix filter on both whole sets (a bound from how the hashes
+filters (shingles that only one class holds count as no possible match) and a
+parity sketch's bound on how far two sets differ, then the suffix filter on both whole sets (a bound from how the hashes
 fall into ranges), and are verified once by counting the intersection.
 
 Groups around a prefix shingle are never expanded into all their pairs: first
@@ -45,7 +46,7 @@ class Config:
     size: int = 5
     percent: int = 75
     shard_mb: float = 6.0  # of stored blocks, for each shard of keys
-    rounds: int = 2  # comparisons with anchors before the remaining pairs
+    rounds: int = 3  # comparisons with anchors before the remaining pairs
 
 
 def shingles(block: Block, size: int) -> list[np.ndarray]:
@@ -102,6 +103,15 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((x[at] == y).sum()) >= need
 
 
+SKETCH = [f"s{i}" for i in range(8)]
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """512 bits: whether each bucket of hashes holds an odd number. Sets that differ in d elements differ in d bits at most."""
+    odd = np.bincount((s >> np.uint64(8)).astype(np.int64) & 511, minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sets_of(blocks: DataFrame, config: Config) -> DataFrame:
     """(block, place, doc_id, n, s1, s2) of every document: size and signature of its set."""
 
@@ -154,15 +164,16 @@ def joined(documents: DataFrame, config: Config = Config()) -> DataFrame:
                     first = np.lexsort((s, rare))[: prefix_length(len(s), config.percent)]
                     position = np.flatnonzero(rare[first] > 0)
                     if len(position):
-                        parts.append(pd.DataFrame({"key": s[first[position]].view(np.int64), "rep": rep, "n": len(s), "position": position, "hashes": None}))
-                        whole.append((0, rep, len(s), 0, s.tobytes()))
-                yield pd.concat([*parts, pd.DataFrame(whole, columns=["key", "rep", "n", "position", "hashes"])])
+                        own_keys = s[first[position]].view(np.int64)
+                        parts.append(pd.DataFrame({"key": own_keys, "rep": rep, "n": len(s), "position": position - position[0], "rest": len(s) - 1 - position, "hashes": None} | dict(zip(SKETCH, sketch(s), strict=True))))
+                        whole.append((0, rep, len(s), 0, 0, s.tobytes()))
+                yield pd.concat([*parts, pd.DataFrame(whole, columns=["key", "rep", "n", "position", "rest", "hashes"]).assign(**dict.fromkeys(SKETCH, 0))])
 
     with_answers = blocks.join(chosen, "block").join(by_block(answers), "block")
-    found = written(with_answers.mapInPandas(prefixes, "key long, rep long, n long, position long, hashes binary"), "jaccard-prefixes")
+    found = written(with_answers.mapInPandas(prefixes, "key long, rep long, n long, position long, rest long, hashes binary, " + ", ".join(f"{c} long" for c in SKETCH)), "jaccard-prefixes")
     discard(blocks)
     discard(answers)
-    entries, whole = found.where("hashes is null").drop("hashes"), found.where("hashes is not null").select("rep", "hashes")
+    entries, whole = found.where("hashes is null").select("key", "rep", "n", "position", "rest", F.struct(SKETCH).alias("sketch")), found.where("hashes is not null").select("rep", "hashes")
     # A shingle in one prefix only leads nowhere.
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     entries = written(entries.join(shared, "key", "left_semi"), "jaccard-entries")
@@ -170,21 +181,23 @@ def joined(documents: DataFrame, config: Config = Config()) -> DataFrame:
     tried, links, labels = None, None, None
     for step in range(config.rounds + 1):
         marked = entries if labels is None else entries.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        marked = marked.withColumn("label", F.col("rep") if labels is None else F.coalesce("component", "rep")).select("key", "rep", "n", "position", "label")
+        marked = marked.withColumn("label", F.col("rep") if labels is None else F.coalesce("component", "rep")).select("key", "rep", "n", "position", "rest", "sketch", "label")
         if step < config.rounds:
-            order = F.xxhash64("rep", F.lit(step))
-            anchors = marked.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "position", "label")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "x")
-            pairs = marked.join(anchors, "key").select(*_pair("rep", "n", "position", "label"), *_pair("x.rep", "x.n", "x.position", "x.label", "2"))
+            # A text that others are copies of has few shingles of its own, so its shared ones come early: it is the first anchor.
+            order = F.struct(F.col("position") if step == 0 else F.lit(0), F.xxhash64("rep", F.lit(step)))
+            anchors = marked.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "position", "rest", "sketch", "label")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "x")
+            pairs = marked.join(anchors, "key").select(*_pair(""), *_pair("x.", "2"))
         else:
             open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
             rest = marked.join(open_keys, "key", "left_semi")
-            other = rest.select("key", F.struct("rep", "n", "position", "label").alias("x"))
-            pairs = rest.join(other, "key").where("rep < x.rep").select(*_pair("rep", "n", "position", "label"), *_pair("x.rep", "x.n", "x.position", "x.label", "2"))
+            other = rest.select("key", F.struct("rep", "n", "position", "rest", "sketch", "label").alias("x"))
+            pairs = rest.join(other, "key").where("rep < x.rep").select(*_pair(""), *_pair("x.", "2"))
         need = F.ceil(F.lit(config.percent) * (F.col("n") + F.col("n2")) / F.lit(100 + config.percent))
         pairs = (
             pairs.where("label <> label2")
             .where(100 * F.least("n", "n2") >= config.percent * F.greatest("n", "n2"))
-            .where(F.least("p", "p2") + 1 + F.least(F.col("n") - F.col("p") - 1, F.col("n2") - F.col("p2") - 1) >= need)
+            .where(F.least("p", "p2") + 1 + F.least("rest", "rest2") >= need)
+            .where(sum(F.bit_count(F.col(f"sketch.{c}").bitwiseXOR(F.col(f"sketch2.{c}"))) for c in SKETCH) <= F.col("n") + F.col("n2") - 2 * need)
             .select(F.greatest("r", "r2").alias("a"), F.least("r", "r2").alias("b")).distinct()
         )
         if tried is not None:
@@ -215,8 +228,8 @@ def one_of_each(documents: DataFrame, config: Config = Config()) -> DataFrame:
     return single.union(out.join(repeated, "doc_id", "left_semi").select(documents.columns).dropDuplicates(["doc_id"]))
 
 
-def _pair(rep: str, n: str, position: str, label: str, suffix: str = "") -> list:
-    return [F.col(rep).alias(f"r{suffix}"), F.col(n).alias(f"n{suffix}"), F.col(position).alias(f"p{suffix}"), F.col(label).alias(f"label{suffix}")]
+def _pair(of: str, suffix: str = "") -> list:
+    return [F.col(f"{of}{c}").alias(f"{name}{suffix}") for c, name in (("rep", "r"), ("n", "n"), ("position", "p"), ("rest", "rest"), ("sketch", "sketch"), ("label", "label"))]
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, config: Config) -> DataFrame:
