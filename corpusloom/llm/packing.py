@@ -47,6 +47,9 @@ class Config:
 
 # ---- token ids
 
+BATCH = 4000  # words that the tokenizer encodes at once
+CHUNK = 1_000_000  # bytes of text, likewise; a longer text comes alone
+
 
 class Encoder:
     """Ids of many texts, as the tokenizer gives them for each whole text.
@@ -56,7 +59,7 @@ class Encoder:
     is encoded once, and parts seen before come from a bounded cache.
     """
 
-    CACHE = 400_000
+    CACHE = 150_000
     #: Plain letters with marks after them: the letters, lower-cased, and the marks are encoded apart.
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*|()-]+)")
 
@@ -73,8 +76,8 @@ class Encoder:
         missing = list(dict.fromkeys(p for p in parts if p not in self.cache))
         if len(self.cache) + len(missing) > self.CACHE:
             self.cache = {p: self.cache[p] for p in parts if p in self.cache}
-        for k in range(0, len(missing), 20_000):
-            some = missing[k : k + 20_000]
+        for k in range(0, len(missing), BATCH):
+            some = missing[k : k + BATCH]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.cache[p] = np.array(e.ids, np.uint32)
         return [self.cache[p] for p in parts]
@@ -111,7 +114,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, config: Config = Config(),
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_for(tokenizer_path)
-        for rows, texts in chunks(frames):
+        for rows, texts in chunks(frames, CHUNK):
             ids, counts = encoder.encode(texts)
             out, at = [], 0
             for doc_id, n in zip(rows["doc_id"], counts, strict=True):
