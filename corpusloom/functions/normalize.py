@@ -12,6 +12,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The named entities that are decoded; other names stay as they are.
 NAMES = """
@@ -60,13 +61,13 @@ def snapped(quote: str, body: str, least: int = 40, share: float = 0.4) -> str |
     return kept if size >= least and size >= share * len(whole) else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized(text: pd.Series) -> pd.Series:
     """normal() of each text; null stays null."""
     return text.map(normal, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def snapped_quote(quote: pd.Series, body: pd.Series) -> pd.Series:
     """snapped() of each pair; null where either is null or no prefix is long enough."""
     return pd.Series([None if q is None or b is None else snapped(q, b) for q, b in zip(quote, body, strict=True)], dtype=object)

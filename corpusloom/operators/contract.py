@@ -13,6 +13,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from corpusloom.functions.normalize import normal, normalized
 
@@ -40,7 +41,7 @@ SCREENS = [
 NO_TRADITION = ("unassigned", "unknown", "")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _traditions(names: pd.Series) -> pd.Series:
     """The different traditions of each list, in comparable form."""
     return names.map(lambda some: sorted({normal(x or "") for x in some} - set(NO_TRADITION)) if some is not None else [])
