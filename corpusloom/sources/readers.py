@@ -109,11 +109,12 @@ def usfm(spark: SparkSession, path: str) -> DataFrame:
     letters after a verse number play no part. Titles and other head lines are left
     out, as are books that BOOKS doesn't name.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     book = F.array_position(F.array(*map(F.lit, BOOKS)), F.upper(F.regexp_extract("value", r"(?m)^\\id\s+(\S+)", 1)))
     head = r"(?m)^\\(?:h|toc[1-3]|mt[1-3]?|ms[1-3]?|mr|s[1-5]?|r|d|sp|rem|ie|cl|cd|id)\s.*$"
-    chapters = files.select(book.alias("book"), F.explode(F.slice(F.split(F.regexp_replace("value", head, ""), r"(?m)^\\c\s+(?=[0-9])"), 2, 1000)).alias("c"))
-    numbered = chapters.where("book > 0").select("book", F.regexp_extract("c", "^([0-9]+)", 1).alias("chapter"), F.explode(F.slice(F.split("c", r"\\v\s+(?=[0-9])"), 2, 1000)).alias("v"))
+    after_first = lambda parts: F.filter(parts, lambda _, i: i > 0)
+    chapters = files.select(book.alias("book"), F.explode(after_first(F.split(F.regexp_replace("value", head, ""), r"(?m)^\\c\s+(?=[0-9])"))).alias("c"))
+    numbered = chapters.where("book > 0").select("book", F.regexp_extract("c", "^([0-9]+)", 1).alias("chapter"), F.explode(after_first(F.split("c", r"\\v\s+(?=[0-9])"))).alias("v"))
     marker = r"^([0-9]+)[a-z]?(?:[-–]([0-9]+)[a-z]?)?(?:\s|$)"
     first = F.regexp_extract("v", marker, 1).cast("int")
     last = F.coalesce(F.expr("try_cast(nullif(regexp_extract(v, '" + marker.replace("\\", "\\\\") + "', 2), '') as int)"), first)
