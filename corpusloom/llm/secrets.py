@@ -4,12 +4,12 @@ Two first-order Markov chains over character classes, one trained on random
 strings and one on ordinary identifiers, give a token two log-likelihoods; a
 token whose ratio for each character is high enough is a span of kind "markov".
 The labelled samples are rows of (sample, label): by default the values that
-the fixed patterns find in the documents (1), with ordinary tokens beside them
+the fixed patterns find in the documents (1), and ordinary tokens beside them
 (0). Transition counts over all samples are summed by Spark; the model is a
 matrix of fixed size.
 
 A markov span is a run of SYMBOLS of least_length or more that overlaps no span
-of a fixed pattern, holds a digit, and is a likelier random string. Spans count
+of a fixed pattern and is a likelier random string. Spans count
 code points, end exclusive. Null texts count as empty; empty texts have no
 spans; equal texts have equal spans; other columns of the input play no part.
 Without samples of both labels there are no markov spans.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +48,7 @@ class Config:
     least_length: int = 20
     ratio: float = 0.25  # nats a character
     smoothing: float = 0.5  # added to each transition's count
-    ordinary_every: int = 64  # of the ordinary tokens, those whose hash is divisible by this are label-0 samples
+    least_ordinary: int = 4  # characters of a label-0 sample
 
 
 STATES = len(SYMBOLS) + 1  # the last one stands for begin and end
@@ -85,7 +86,7 @@ def markov_spans(text: str, base: list[tuple[int, int, str]], ratio: np.ndarray
     found = []
     for m in pattern.finditer(text):
         a, b = m.span()
-        if any(x < b and a < y for x, y, _ in base) or not any(c.isdigit() for c in m[0]):
+        if any(x < b and a < y for x, y, _ in base):
             continue
         if ratio[transitions(m[0])].sum() > config.ratio * (b - a):
             found.append((a, b, "markov"))
@@ -97,12 +98,23 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
 
+def outside(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of the text that no span covers."""
+    parts, at = [], 0
+    for a, b, _ in sorted(spans):
+        if a > at:
+            parts.append((at, a))
+        at = max(at, b)
+    return [*parts, (at, len(text))]
+
+
 def samples(documents: DataFrame, config: Config = Config()) -> DataFrame:
-    """Labelled samples (sample, label, weight) of all documents: values of the fixed patterns, 1; a hashed share of the other tokens, 0."""
+    """Labelled samples (sample, label, weight) of all documents: values of the fixed patterns, 1; every other token of some length, 0."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found: dict[tuple[str, int], int] = {}
+            words: Counter[str] = Counter()
             for text in frame["text"]:
                 text = text if isinstance(text, str) else ""
                 base = base_spans(text)
@@ -111,23 +123,17 @@ def samples(documents: DataFrame, config: Config = Config()) -> DataFrame:
                     value = "".join(c for c in value if c in SYMBOLS)
                     if any(c.isdigit() for c in value):
                         found[value, 1] = found.get((value, 1), 0) + 1
-                for w in text.split():
-                    # Only words of one hash class are matched, before any other work on them.
-                    if hash_class(w) % config.ordinary_every == 0:
-                        for t in TOKEN.findall(w):
-                            if len(t) >= 4 and not LONG_HEX.search(t) and len(t) < config.least_length:
-                                found[t, 0] = found.get((t, 0), 0) + 1
+                words.update(" ".join([text[a:b] for a, b in outside(text, base)]).split())
+            for w, n in words.items():
+                for t in TOKEN.findall(w):
+                    if len(t) >= config.least_ordinary and not LONG_HEX.search(t):
+                        found[t, 0] = found.get((t, 0), 0) + n
             if found:
                 yield pd.DataFrame([(s, y, n) for (s, y), n in found.items()], columns=["sample", "label", "weight"])
 
     return documents.select("text").mapInPandas(run, "sample string, label int, weight long")
 
 
-def hash_class(word: str) -> int:
-    """A cheap fixed number of a word, alike on every machine."""
-    return (len(word) * 31 + ord(word[0]) * 7 + ord(word[-1]) * 13 + ord(word[len(word) // 2]) * 17) & 0xFFFF
-
-
 def train(samples: DataFrame, config: Config = Config()) -> np.ndarray | None:
     """Log-likelihood ratio, random over ordinary, of each transition; None without samples of both labels."""
 
