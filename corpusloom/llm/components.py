@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,17 +42,17 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _contracted(links: DataFrame) -> DataFrame:
     """The same components with fewer links: each partition's links become stars."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
-        for f in frames:
-            held.append((f["a"].to_numpy(), f["b"].to_numpy()))
-            n += len(f)
+        for batch in batches:
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            n += len(batch)
             if n > 1_000_000:  # what is held is at most one link an id after this
                 held, n = [forest(*(np.concatenate(x) for x in zip(*held, strict=True)))], 0
         a, b = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        yield pd.DataFrame({"a": a, "b": b})
+        yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
-    return links.mapInPandas(run, "a long, b long")
+    return links.mapInArrow(run, "a long, b long")
 
 
 def _smallest(links: DataFrame) -> DataFrame:

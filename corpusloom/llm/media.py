@@ -21,10 +21,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.words import encoded
+from corpusloom.llm.words import chunks
 
 
 @dataclass(frozen=True)
@@ -89,8 +89,7 @@ def fingerprint(bins: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarra
 def media(documents: DataFrame, config: Config = Config(), keep_wav: bool = False) -> DataFrame:
     """Every row with its stored form's figures and its fingerprint as (times, codes); with keep_wav also the WAV bytes."""
 
-    def row(text: object) -> tuple:
-        raw = encoded(text)
+    def row(raw: bytes) -> tuple:
         stored = to_wav(payload(raw, config.unit), config.rate)
         samples = from_wav(stored)
         bins = peaks(spectrum(samples, config), config)
@@ -99,15 +98,13 @@ def media(documents: DataFrame, config: Config = Config(), keep_wav: bool = Fals
         out = (len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, t, c)
         return (*out, stored) if keep_wav else out
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times", "codes"] + ["wav"] * keep_wav
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    fields = [("doc_id", pa.int64()), *((c, pa.string() if c in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for c in names), ("times", pa.list_(pa.int32())), ("codes", pa.list_(pa.int64()))] + [("wav", pa.binary())] * keep_wav
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for begin in range(0, len(frame), 500):
-                part = frame.iloc[begin : begin + 500]
-                out = pd.DataFrame([row(t) for t in part["text"]], columns=names)
-                out.insert(0, "doc_id", part["doc_id"].to_numpy())
-                yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in chunks(batches):
+            columns = zip(*(row(t) for t in texts), strict=True)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), *(pa.array(x, kind) for x, (_, kind) in zip(columns, fields[1:], strict=True))], schema=pa.schema(fields))
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<int>, codes array<long>"
-    return documents.select("doc_id", "text").mapInPandas(run, schema + ", wav binary" * keep_wav)
+    return documents.select("doc_id", "text").mapInArrow(run, schema + ", wav binary" * keep_wav)

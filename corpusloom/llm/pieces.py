@@ -27,9 +27,11 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corpusloom.llm.words import slices
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6  # kinds of pieces in the file format
 
@@ -44,7 +46,8 @@ def read_pieces(path: str) -> list[tuple[str, float, int]]:
 
 
 class Codec:
-    CACHE = 300_000
+    CACHE = 100_000  # parts
+    LONGEST = 40  # characters of a part in the cache
 
     def __init__(self, pieces: list[tuple[str, float, int]]):
         self.pieces = pieces
@@ -108,9 +111,11 @@ class Codec:
         for part in [normalised] if self.inside else self.parts.findall(normalised):
             ids = self.cache.get(part)
             if ids is None:
-                if len(self.cache) >= self.CACHE:
-                    self.cache.clear()
-                ids = self.cache[part] = np.array(self.viterbi(part), np.int32).tobytes()
+                ids = np.array(self.viterbi(part), np.int32).tobytes()
+                if len(part) <= self.LONGEST:
+                    if len(self.cache) >= self.CACHE:
+                        self.cache.clear()
+                    self.cache[part] = ids
             found.append(ids)
         return b"".join(found)
 
@@ -142,29 +147,32 @@ def codec_for(path: str) -> Codec:
 
 def encode(documents: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, n_ids, ids, ids_crc32, exact) of every row; exact: decoding the ids gives the text back."""
+    fields = [("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64()), ("exact", pa.bool_())]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(model_path)
-        for frame in frames:
-            for begin in range(0, len(frame), 500):
-                part = frame.iloc[begin : begin + 500]
-                texts = [t if isinstance(t, str) else "" for t in part["text"]]
-                ids = [codec.encode(t) for t in texts]
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy(), "n_ids": [len(i) for i in ids], "ids": ids,
-                    "ids_crc32": [zlib.crc32(i.astype("<u4").tobytes()) for i in ids], "exact": [codec.decode(i) == t for i, t in zip(ids, texts, strict=True)],
-                })
+        for rows in slices(batches):
+            texts = [t or "" for t in rows.column("text").to_pylist()]
+            ids = [codec.encode(t) for t in texts]
+            ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+            columns = [
+                rows.column("doc_id").cast(pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
+                pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array([codec.decode(i) == t for i, t in zip(ids, texts, strict=True)]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n_ids long, ids array<int>, ids_crc32 long, exact boolean")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids array<int>, ids_crc32 long, exact boolean")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); null ids give an empty text."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(model_path)
-        for frame in frames:
-            texts = ["" if ids is None else codec.decode(np.asarray(ids)) for ids in frame["ids"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "text": texts})
+        for whole in batches:
+            for begin in range(0, len(whole), 500):
+                rows = whole.slice(begin, 500)
+                texts = ["" if ids is None else codec.decode(np.array(ids, np.int32)) for ids in rows.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

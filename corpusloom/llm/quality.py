@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,11 +104,18 @@ def _firsts(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def with_statistics(documents: DataFrame) -> DataFrame:
     """(doc_id, stats) of every row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, texts in chunks(frames):
-            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "stats": list(statistics(texts))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in chunks(batches):
+            stats = statistics(texts)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(0, stats.size + 1, stats.shape[1], dtype=np.int32)), pa.array(stats.ravel()))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), values], ["doc_id", "stats"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, stats array<double>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, stats array<double>")
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """(row, statistic) of a batch's stats."""
+    return batch.column("stats").flatten().to_numpy().reshape(len(batch), len(STATISTICS))
 
 
 def isotonic(weight: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -158,31 +165,31 @@ def fit(rows: DataFrame, config: Config = Config()) -> Model:
     model = Model(mean, scale, rng.normal(0, 1 / config.bandwidth, (k, config.features)), rng.uniform(0, 2 * np.pi, config.features))
     wide = config.features + 1
 
-    def partition_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partition_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, part = np.zeros((wide, wide + 2)), 0
-        for frame in frames:
-            if len(frame):
-                part = int(frame["part"].iloc[0])
-                phi = model.lift(np.stack(frame["stats"].to_numpy()), config)
-                y = frame["label"].to_numpy(float)
+        for batch in batches:
+            if len(batch):
+                part = batch.column("part")[0].as_py()
+                phi = model.lift(_matrix(batch), config)
+                y = batch.column("label").to_numpy()
                 total[:, :wide] += phi.T @ phi
                 total[:, wide] += phi.T @ y
                 total[0, wide + 1] += len(y)
         if total[0, wide + 1]:
-            yield pd.DataFrame({"part": [part], "sums": [total.tobytes()]})
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()])], ["part", "sums"])
 
-    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for frame in frames:
-            for b in frame["sums"]:
+        for batch in batches:
+            for b in batch.column("sums").to_pylist():
                 own = np.frombuffer(b)
                 total = own if total is None else total + own
         if total is not None:
-            yield pd.DataFrame({"part": [0], "sums": [total.tobytes()]})
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()])], ["part", "sums"])
 
     schema = "part int, sums binary"
-    sums = rows.where("use = 'fit'").select("stats", "label", F.spark_partition_id().alias("part")).mapInPandas(partition_sums, schema)
-    sums = sums.repartition(config.groups, "part").mapInPandas(added, schema)
+    sums = rows.where("use = 'fit'").select("stats", "label", F.spark_partition_id().alias("part")).mapInArrow(partition_sums, schema)
+    sums = sums.repartition(config.groups, "part").mapInArrow(added, schema)
     gathered = [np.frombuffer(r.sums).reshape(wide, wide + 2) for r in sums.collect()]
     if not gathered:
         return model
@@ -192,14 +199,15 @@ def fit(rows: DataFrame, config: Config = Config()) -> Model:
     penalty[0, 0] = 1e-9
     model.beta = np.linalg.solve(total[:, :wide] + penalty, total[:, wide])
 
-    def binned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                b = bin_of(model.ridge_score(np.stack(frame["stats"].to_numpy()), config), config)
-                own = pd.DataFrame({"bin": b, "weight": 1.0, "total": frame["label"].to_numpy(float)}).groupby("bin", as_index=False).sum()
-                yield own
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                b = bin_of(model.ridge_score(_matrix(batch), config), config)
+                n, total = np.bincount(b, minlength=config.bins), np.bincount(b, batch.column("label").to_numpy(), config.bins)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some].astype(float)), pa.array(total[some])], ["bin", "weight", "total"])
 
-    counts = rows.where("use = 'calibrate'").select("stats", "label").mapInPandas(binned, "bin long, weight double, total double")
+    counts = rows.where("use = 'calibrate'").select("stats", "label").mapInArrow(binned, "bin long, weight double, total double")
     bins = counts.groupBy("bin").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total")).collect()
     weight, sums = np.zeros(config.bins), np.zeros(config.bins)
     for r in bins:
@@ -213,13 +221,13 @@ def fit(rows: DataFrame, config: Config = Config()) -> Model:
 def score(stats: DataFrame, model: Model, config: Config = Config()) -> DataFrame:
     """(doc_id, score, predicted) from (doc_id, stats)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                p = model.probability(np.stack(frame["stats"].to_numpy()), config)
-                yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "score": p, "predicted": (p >= THRESHOLD).astype(np.int32)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                p = model.probability(_matrix(batch), config)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return stats.select("doc_id", "stats").mapInPandas(run, "doc_id long, score double, predicted int")
+    return stats.select("doc_id", "stats").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def learn(stats: DataFrame, labels: DataFrame, fit_rows: Column, calibrate_rows: Column, config: Config = Config()) -> Model:
@@ -238,8 +246,8 @@ def fit_and_score(documents: DataFrame, labels: DataFrame, fit_rows: Column, cal
 def kept(documents: DataFrame, model: Model, config: Config = Config()) -> DataFrame:
     """The rows of documents that are predicted to be of quality, as they are; all of them, if there was nothing to learn from."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, texts in chunks(frames):
-            yield rows if model.beta is None else rows[model.probability(statistics(texts), config) >= THRESHOLD]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in chunks(batches):
+            yield rows if model.beta is None else rows.filter(pa.array(model.probability(statistics(texts), config) >= THRESHOLD))
 
-    return documents.mapInPandas(run, documents.schema)
+    return documents.mapInArrow(run, documents.schema)

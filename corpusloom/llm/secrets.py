@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and character Markov models.
 
-Two first-order Markov chains over character classes, one trained on random
+Two first-order Markov chains over characters, one trained on random
 strings and one on ordinary identifiers, give a token two log-likelihoods; a
 token whose ratio for each character is high enough is a span of kind "markov".
 The labelled samples are rows of (sample, label): by default the values that
@@ -24,10 +24,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.words import slices
+
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_LEAST = 12
@@ -111,12 +113,12 @@ def outside(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
 def samples(documents: DataFrame, config: Config = Config()) -> DataFrame:
     """Labelled samples (sample, label, weight) of all documents: values of the fixed patterns, 1; every other token of some length, 0."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches):
             found: dict[tuple[str, int], int] = {}
             words: Counter[str] = Counter()
-            for text in frame["text"]:
-                text = text if isinstance(text, str) else ""
+            for text in rows.column("text").to_pylist():
+                text = text or ""
                 base = base_spans(text)
                 for a, b, kind in base:
                     value = ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]
@@ -129,23 +131,32 @@ def samples(documents: DataFrame, config: Config = Config()) -> DataFrame:
                     if len(t) >= config.least_ordinary and not LONG_HEX.search(t):
                         found[t, 0] = found.get((t, 0), 0) + n
             if found:
-                yield pd.DataFrame([(s, y, n) for (s, y), n in found.items()], columns=["sample", "label", "weight"])
+                pairs = list(found)
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in pairs], pa.string()), pa.array([y for _, y in pairs], pa.int32()), pa.array(list(found.values()), pa.int64())], ["sample", "label", "weight"])
 
-    return documents.select("text").mapInPandas(run, "sample string, label int, weight long")
+    return documents.select("text").mapInArrow(run, "sample string, label int, weight long")
 
 
 def train(samples: DataFrame, config: Config = Config()) -> np.ndarray | None:
     """Log-likelihood ratio, random over ordinary, of each transition; None without samples of both labels."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, STATES * STATES))
-        for frame in frames:
-            for sample, label, weight in zip(frame["sample"], frame["label"], frame["weight"], strict=True):
-                np.add.at(counts[label], transitions(sample), weight)
+        for whole in batches:
+            for begin in range(0, len(whole), 5000):
+                batch = whole.slice(begin, 5000)
+                label, weight = batch.column("label").to_numpy(), batch.column("weight").to_numpy()
+                # All samples in one row of states, each between two states that stand for begin and end.
+                row = _STATE[np.frombuffer("\n".join(["", *batch.column("sample").to_pylist(), ""]).encode("ascii"), np.uint8)]
+                of = np.cumsum(row[:-1] == STATES - 1) - 1
+                step = row[:-1] * STATES + row[1:]
+                for y in (0, 1):
+                    own = label[of] == y
+                    counts[y] += np.bincount(step[own], weight[of[own]], STATES * STATES)
         label, step = np.nonzero(counts)
-        yield pd.DataFrame({"label": label, "step": step, "n": counts[label, step]})
+        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(step, pa.int32()), pa.array(counts[label, step])], ["label", "step", "n"])
 
-    rows = samples.mapInPandas(run, "label int, step int, n double").groupBy("label", "step").agg(F.sum("n").alias("n")).collect()  # at most 2 * STATES**2 rows
+    rows = samples.mapInArrow(run, "label int, step int, n double").groupBy("label", "step").agg(F.sum("n").alias("n")).collect()  # at most 2 * STATES**2 rows
     counts = np.zeros((2, STATES * STATES))
     for r in rows:
         counts[r.label, r.step] = r.n
@@ -159,20 +170,21 @@ def train(samples: DataFrame, config: Config = Config()) -> np.ndarray | None:
 def scan(documents: DataFrame, ratio: np.ndarray | None, config: Config = Config()) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) of every row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                text = text if isinstance(text, str) else ""
+    names = ["n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches):
+            out = []
+            for text in rows.column("text").to_pylist():
+                text = text or ""
                 base = base_spans(text)
                 more = markov_spans(text, base, ratio, config)
                 n = [sum(k == kind for *_, k in base + more) for kind in KINDS]
-                rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"])
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield out
+                out.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
+            columns = [pa.array(x, pa.int64() if i < len(KINDS) else pa.string()) for i, x in enumerate(zip(*out, strict=True))]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), *columns], ["doc_id", *names])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: str, mark: str = "[secret]") -> str:
@@ -189,17 +201,15 @@ def masked(text: str, spans: str, mark: str = "[secret]") -> str:
 def redact(documents: DataFrame, ratio: np.ndarray | None, config: Config = Config()) -> DataFrame:
     """documents with every span masked in text, and n_chars, where there is one, brought up to date. Null texts stay null."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches):
             texts = []
-            for text in frame["text"]:
-                if isinstance(text, str):
+            for text in rows.column("text").to_pylist():
+                if text is not None:
                     base = base_spans(text)
                     text = masked(text, joined(base + markov_spans(text, base, ratio, config)))
                 texts.append(text)
-            out = frame.copy()
-            out["text"] = pd.Series(texts, index=frame.index, dtype=object)
-            yield out
+            yield rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(texts, rows.schema.field("text").type))
 
-    out = documents.mapInPandas(run, documents.schema)
+    out = documents.mapInArrow(run, documents.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out

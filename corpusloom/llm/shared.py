@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder, which all executors share.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, is a temporary folder made.
+    A cluster names it in spark.checkpoint.dir. Only where that is unset and all
+    runs in one process, as in tests, is a temporary folder made.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -32,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def input_partitions(df: DataFrame, megabytes: float, least: int = 1) -> int:
     """How many parts of about `megabytes` the plan's estimated size makes."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(100_000, max(least, -(-size // int(megabytes * 2**20)))))
+    return int(max(least, -(-size // int(megabytes * 2**20))))
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -40,10 +44,12 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train: Column, rows: int) -> DataFrame:
-    """(text, label) of at most `rows` labelled documents, the same ones each time.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train: Column, rows: int, megabytes: float) -> DataFrame:
+    """(doc_id, text, label) of at most `rows` labelled documents with at most so many megabytes of text, the same ones each time.
 
-    The label rows are bounded before the join, so what is broadcast is bounded.
+    The label rows are bounded before the join, so what is broadcast is bounded. Of
+    rows that repeat a doc_id the one with the least text counts. Whole texts are
+    taken in the order of a hash until the megabytes are used up.
     """
     few = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -51,7 +57,13 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train:
         .groupBy("doc_id").agg(F.max(label).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
+    # The window holds at most `rows` ids and sizes.
+    sizes = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.octet_length("text").cast("long").alias("size"), F.xxhash64("text").alias("hash"))).alias("least"))
+    used = F.sum("least.size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    fitting = sizes.withColumn("used", used).where(F.col("used") <= int(megabytes * 2**20)).select("doc_id", "label", "least")
+    same = (F.octet_length("text") == F.col("least.size")) & (F.xxhash64("text") == F.col("least.hash"))
+    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(fitting), "doc_id").where(same).select("doc_id", "text", "label").dropDuplicates(["doc_id"])
 
 
 def discard(df: DataFrame) -> None:

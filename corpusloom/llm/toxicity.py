@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +39,7 @@ THRESHOLD = 0.7
 @dataclass(frozen=True)
 class Config:
     sample_rows: int = 6000  # at most so many labelled rows are learned from
+    sample_mb: float = 48.0  # and so much of their texts
     buckets: int = 1 << 16
     beginnings: tuple[int, ...] = (4, 5, 6, 7, 8)  # bytes
     dim: int = 12
@@ -156,7 +157,7 @@ def train(texts: list[bytes], y: np.ndarray, config: Config = Config()) -> Model
     y = np.asarray(y, np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
     constant = Model(np.zeros(0, np.uint64), {w: np.zeros((w, 1, config.filters)) for w in config.widths}, {w: np.zeros(config.filters) for w in config.widths}, np.zeros(len(config.widths) * config.filters), float(np.log(share / (1 - share))))
-    if y.sum() in (0, len(y)):
+    if not len(y) or y.sum() in (0, len(y)):
         return constant
     rng = np.random.default_rng(config.seed)
     known = common_features(texts, config)
@@ -236,27 +237,27 @@ def train(texts: list[bytes], y: np.ndarray, config: Config = Config()) -> Model
 
 
 def fit(documents: DataFrame, labels: DataFrame, train_rows: Column, config: Config = Config()) -> Model:
-    """Learn from at most config.sample_rows labelled documents for which train_rows holds."""
-    rows = labelled_sample(documents, labels, "toxic", train_rows, config.sample_rows).toPandas().sort_values(["doc_id", "text"])
-    return train([encoded(t) for t in rows["text"]], rows["label"].to_numpy(), config) if len(rows) else train([], np.zeros(0), config)
+    """Learn from at most config.sample_rows labelled documents for which train_rows holds, and config.sample_mb of their texts."""
+    rows = sorted((r.doc_id, encoded(r.text), r.label) for r in labelled_sample(documents, labels, "toxic", train_rows, config.sample_rows, config.sample_mb).collect())
+    return train([t for _, t, _ in rows], np.array([y for *_, y in rows], float), config)
 
 
 def score(documents: DataFrame, model: Model, config: Config = Config()) -> DataFrame:
     """(doc_id, score, predicted) of every row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, texts in chunks(frames):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in chunks(batches):
             s = scores(model, texts, config)
-            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "score": s, "predicted": (s >= THRESHOLD).astype(np.int32)})
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def kept(documents: DataFrame, model: Model, config: Config = Config()) -> DataFrame:
     """The rows of documents that aren't predicted toxic, as they are."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, texts in chunks(frames):
-            yield rows[scores(model, texts, config) < THRESHOLD]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in chunks(batches):
+            yield rows.filter(pa.array(scores(model, texts, config) < THRESHOLD))
 
-    return documents.mapInPandas(run, documents.schema)
+    return documents.mapInArrow(run, documents.schema)

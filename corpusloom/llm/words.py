@@ -1,11 +1,17 @@
-"""Words of many texts at once, as numpy arrays over their UTF-8 bytes."""
+"""Words of many texts at once, as arrays.
+
+Words are numpy arrays over the texts' UTF-8 bytes, with quick hashes that serve
+classifiers. exact_words() tells words apart by their bytes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 #: Bytes between words, as [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
@@ -18,7 +24,7 @@ LOWER[65:91] += 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 2**64))
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 WINDOW = 1 << 18
 
 
@@ -95,15 +101,43 @@ def encoded(text: object) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def chunks(frames: Iterator[pd.DataFrame], size: int = CHUNK) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
-    """Rows with their encoded texts, some `size` bytes at a time; a longer text comes alone."""
-    for frame in frames:
-        texts = [encoded(t) for t in frame["text"]]
+def slices(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Rows with some `size` bytes of text in all; a longer text comes alone."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
         begin = total = 0
-        for i, t in enumerate(texts):
-            if total and total + len(t) > size:
-                yield frame.iloc[begin:i], texts[begin:i]
+        for i, n in enumerate(lengths):
+            if total and total + n > size:
+                yield batch.slice(begin, i - begin)
                 begin, total = i, 0
-            total += len(t) + 1
-        if begin < len(texts):
-            yield frame.iloc[begin:], texts[begin:]
+            total += n + 1
+        if begin < len(lengths):
+            yield batch.slice(begin)
+
+
+def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    """UTF-8 of each row's text; nulls count as empty."""
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """slices() with their texts."""
+    for batch in slices(batches, size):
+        yield batch, texts_of(batch)
+
+
+def exact_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words between ASCII white space: how many each text has, the different ones, and the place of each word among these."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    words = pc.list_flatten(lists)
+    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    real = pc.greater(pc.binary_length(words), 0)
+    coded = words.filter(real).dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    return np.bincount(doc[real.to_numpy(zero_copy_only=False)], minlength=len(texts)), coded.dictionary, coded.indices.to_numpy()
+
+
+def digests(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each of some different words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
