@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from corpusloom.queries.registry import ORACLES, QUERIES
-from corpusloom.queries import events, matching, planning, ranges, relational, retrieval, search, structured  # noqa: F401  they register themselves
+from corpusloom.queries import events, fulltext, gates, matching, planning, ranges, references, relational, retrieval, search, selection, serving, small, structured  # noqa: F401  they register themselves
 
 __all__ = ["ORACLES", "QUERIES"]

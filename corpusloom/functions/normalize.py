@@ -29,13 +29,16 @@ MARKS = re.compile(r"""[‘’“”'".,;:!?()\[\]{}–—…-]""")
 
 
 def decoded(text: str) -> str:
-    """Numeric entities and those of NAMES as characters; a name is looked up as written, then in lower case."""
+    """Numeric entities and those of NAMES as characters; a name is looked up as written, then in lower case. Numbers of no character stay."""
 
     def one(m: re.Match[str]) -> str:
         if not m[1].startswith("#"):
             return ENTITY.get(m[1], ENTITY.get(m[1].lower(), m[0]))
-        code = int(m[1][2:], 16) if m[1][1] in "xX" else int(m[1][1:])
-        return chr(code) if 0 < code <= 0x10FFFF else m[0]
+        digits = m[1].lstrip("#xX").lstrip("0")
+        if len(digits) > 8:
+            return m[0]
+        code = int(digits or "0", 16 if m[1][1] in "xX" else 10)
+        return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else m[0]
 
     return re.sub(r"&(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);", one, text)
 

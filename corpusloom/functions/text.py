@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 def folded(text: Column) -> Column:
     """Lower case, numeric entities and tags blanked, everything but a-z and 0-9 as single blanks."""
+    # The patterns.
     t = F.regexp_replace(F.lower(text), "&#x?[0-9a-f]+;", " ")
     t = F.regexp_replace(t, "<[^>]+>", " ")
     return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
@@ -23,6 +24,7 @@ def tokens(text: Column) -> Column:
 
 def ocr_body(text: Column) -> Column:
     """Words hyphenated over a line end joined, lines of four or more capitals and no other letters left out."""
+    # The pattern and the number of letters.
     joined = F.regexp_replace(text, r"([A-Za-z])-[ \t]*\r?\n[ \t]*([A-Za-z])", "$1$2")
     letters = lambda line: F.regexp_replace(line, "[^A-Za-z]", "")
     kept = F.filter(F.split(joined, r"\r?\n"), lambda line: ~((F.length(letters(line)) >= 4) & ~letters(line).rlike("[a-z]")))
@@ -73,16 +75,19 @@ def roman(numeral: Column) -> Column:
     # The letters' worth.
     worth = F.create_map(*[F.lit(x) for pair in (("I", 1), ("V", 5), ("X", 10), ("L", 50), ("C", 100), ("D", 500), ("M", 1000)) for x in pair])
     values = F.transform(F.filter(F.split(F.upper(numeral), ""), lambda c: c != ""), lambda c: F.element_at(worth, c))
-    pairs = F.arrays_zip(values.alias("v"), F.concat(F.slice(values, 2, 1000), F.array(F.lit(0))).alias("n"))
-    total = F.aggregate(pairs, F.lit(0), lambda a, p: a + F.when(p["0"] < p["1"], -p["0"]).otherwise(p["0"]))
+    pairs = F.arrays_zip(values.alias("v"), F.concat(F.slice(values, F.lit(2), F.greatest(F.size(values), F.lit(1))), F.array(F.lit(0))).alias("n"))
+    total = F.aggregate(pairs, F.lit(0), lambda a, p: a + F.when(p["v"] < p["n"], -p["v"]).otherwise(p["v"]))
     return F.when(F.upper(numeral).rlike("^[IVXLCDM]+$"), total)
 
 
 def stem_english(word: Column) -> Column:
     """A light suffix stemmer for older English; the first rule that fits is the only one applied."""
-    # Suffixes, and what takes their place, for words longer than the number.
-    rules = [("ies", "y", 4), ("ness", "", 6), ("ing", "", 5), ("eth", "", 5), ("est", "", 5), ("ed", "", 4), ("es", "", 4), ("s", "", 3)]
+    # Suffixes in the order of looking, what takes their place, and the letters that a word must have more.
+    rules = [("eth", "", 4), ("est", "", 4), ("ies", "y", 4), ("ing", "", 4), ("ed", "", 4), ("es", "", 3), ("s", "", 3)]
     out = F.when(F.lit(False), word)
     for suffix, put, least in rules:
-        out = out.when(word.endswith(suffix) & (F.length(word) > least), F.concat(F.substring(word, F.lit(1), F.length(word) - len(suffix)), F.lit(put)))
+        fits = word.endswith(suffix) & (F.length(word) > least)
+        if suffix == "s":
+            fits = fits & ~word.endswith("ss")
+        out = out.when(fits, F.concat(F.substring(word, F.lit(1), F.length(word) - len(suffix)), F.lit(put)))
     return out.otherwise(word)

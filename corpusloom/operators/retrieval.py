@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,42 @@ def nearest_per(vectors: DataFrame, query: list[float], group: str, k: int) -> D
     return best_of(scored, [group], [F.desc("score"), F.asc("vec_id")], k)
 
 
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024, parts: int | None = None) -> DataFrame:
+    """(qid, vec_id, score): the k nearest vectors of each query (both vec_id, embedding), itself left out; ties go to the smaller id.
+
+    Vectors and queries are dealt into blocks and every two blocks meet in one task, which
+    keeps k rows a query; the best of those are chosen by query. The queries are a stated
+    set, so their blocks are few; no task grows with either table.
+    """
+    spark = vectors.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-queries.count() // block))
+    spread = lambda df, own, count, other, others: df.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other))
+    both = spread(vectors, "v", parts, "q", n).withColumn("asks", F.lit(False)).unionByName(spread(queries, "q", n, "v", parts).withColumn("asks", F.lit(True)))
+    schema = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def best(rows: pa.Table) -> pa.Table:
+        rows = rows.filter(pc.is_valid(rows["embedding"]))
+        sizes = pc.list_value_length(rows["embedding"]).to_numpy()
+        asks, ids = rows["asks"].to_numpy(zero_copy_only=False), rows["vec_id"].to_numpy()
+        out = []
+        for size in set(sizes[asks].tolist()) & set(sizes[~asks].tolist()):
+            own = np.flatnonzero(sizes == size)
+            x = pc.list_flatten(rows["embedding"].take(pa.array(own))).cast(pa.float64()).to_numpy().reshape(len(own), size)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            a, v = asks[own], ids[own]
+            scores = x[a] @ x[~a].T
+            for i, qid in enumerate(v[a]):
+                s = np.where(v[~a] == qid, -2.0, scores[i])
+                # Scores that differ by rounding only count as equal, as elsewhere.
+                top = np.lexsort((v[~a], -np.round(s, 12)))[:k]
+                out += [(int(qid), int(v[~a][j]), float(s[j])) for j in top if s[j] > -2]
+        return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
+
+    found = both.groupBy("v", "q").applyInArrow(best, "qid long, vec_id long, score double")
+    return best_of(found, ["qid"], [F.desc(F.round("score", 12)), F.asc("vec_id")], k)
+
+
 def centroids(vectors: DataFrame, group: str) -> DataFrame:
     """(group, dim, mean): the mean vector of each group, one row a dimension, combined before the shuffle."""
     return vectors.select(group, F.posexplode("embedding").alias("dim", "x")).groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))

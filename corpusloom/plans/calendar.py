@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.references import BY_SLUG
+from corpusloom.operators import ranges
+
 
 def reading_days(spark: SparkSession, start: str, weeks: int, week_days: list[int]) -> DataFrame:
     """(day, date): the chosen days (0-6) of each week from start on, numbered from 0 in order."""
@@ -21,3 +24,21 @@ def dealt(spark: SparkSession, items: int, days: int) -> DataFrame:
     d = F.col("id")
     cut = lambda i: F.floor(i * items / days).cast("int")
     return spark.range(days).select(d.cast("int").alias("day"), cut(d).alias("first"), (cut(d + 1) - 1).alias("last"))
+
+
+def spec_fault(weeks: Column, per_week: Column, start_date: Column, book: Column) -> Column:
+    """What is wrong with a plan's settings, the first fault there is: weeks, days, date or book; null if nothing is."""
+    # The most weeks, and the form of a date.
+    date = r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$"
+    return (
+        F.when(~F.coalesce(weeks.between(1, 104), F.lit(False)), "weeks").when(~F.coalesce(per_week.between(1, 7), F.lit(False)), "days")
+        .when(~F.coalesce(start_date.rlike(date), F.lit(False)), "date").when(~F.coalesce(book.isin(*BY_SLUG), F.lit(False)), "book")
+    )
+
+
+def refused(days: DataFrame, covered: DataFrame, by: list[str]) -> DataFrame:
+    """(by, days, covered, refused): plans of which fewer than half of the days (start, end) hold a place of `covered` (verse_id, authors) with two authors."""
+    good = ranges.stab(covered.where("authors >= 2").select("verse_id"), days.select(*by, "start", "end").distinct(), "verse_id", "start", "end").select(*by, "start", "end").distinct().withColumn("_good", F.lit(1))
+    both = days.join(good, [*by, "start", "end"], "left")
+    n, hit = F.count("*"), F.count("_good")
+    return both.groupBy(*by).agg(n.alias("days"), hit.alias("covered"), (hit * 2 < n).alias("refused"))

@@ -66,11 +66,12 @@ def rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with m as (select *, row_number() over (partition by user_id, date_trunc('minute', ts) order by ts, event_id) as in_minute from events),
-d as (select *, case when in_minute <= 2 then row_number() over (partition by user_id, {_DAY}, in_minute <= 2 order by ts, event_id) end as in_day from m)
-select event_id, case when in_minute > 2 then 'minute' when in_day > 10 then 'day' else 'ok' end as verdict from d""")
+d as (select *, case when in_minute <= 2 then row_number() over (partition by user_id, {_DAY}, in_minute <= 2 order by ts, event_id) end as in_day from m),
+v as (select event_id, ts, case when in_minute > 2 then 'minute' when in_day > 10 then 'day' else 'ok' end as verdict from d)
+select event_id, case when verdict = 'ok' and row_number() over (partition by ts::date, verdict order by ts, event_id) > 25 then 'global' else verdict end as verdict from v""")
 def rate_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A request that its minute refuses doesn't count for its day."""
-    return counters.capped(table(spark, sf_dir, "events"), per_minute=2, per_day=10).select("event_id", "verdict")
+    """A request that its minute refuses doesn't count for its day, nor one that its day refuses for all users' day."""
+    return counters.capped(table(spark, sf_dir, "events"), per_minute=2, per_day=10, in_all=25).select("event_id", "verdict")
 
 
 @query(f"select distinct user_id, {_DAY} as day from events")

@@ -32,9 +32,8 @@ hits as (select doc_id, item_id, count(*) as hits from d join b using (shingle)
 
 @query(_HITS + "select doc_id, item_id, hits, source from hits join (select doc_id, source from documents) using (doc_id)")
 def uncited_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    hits = matching.uncited_matches(docs, table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
-    return hits.join(docs.select("doc_id", "source"), "doc_id").select("doc_id", "item_id", "hits", "source")
+    hits = matching.uncited_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", carry=("source",))
+    return hits.select("doc_id", "item_id", "hits", "source")
 
 
 @query(_HITS + """, e as (select doc_id, item_id, 1::bigint as hits, 1.0::double as confidence, 'explicit' as channel from documents cross join (select 0::bigint as item_id) where contains(lower(text), 'licensed under')),
@@ -49,16 +48,16 @@ def anchor_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with i as (select distinct lang, shingle from {_shingles("documents", "doc_id, lang", 3, "doc_id % 2 = 0")}), d as {_shingles("documents", "doc_id", 3, "doc_id % 2 = 1")},
+with i as (select distinct 'e' || item_id % 3 as edition, shingle from {_shingles("benchmark", "item_id", 4)}), d as {_shingles("documents", "doc_id", 4)},
 total as (select doc_id, count(*) as total from d where shingle in (select shingle from i) group by 1),
-c as (select doc_id, lang, count(*) as hits from d join i using (shingle) group by 1, 2),
-w as (select * from c qualify row_number() over (partition by doc_id order by hits desc, lang) = 1)
-select doc_id, case when total >= 25 then lang else 'none' end as lang, hits, total,
-  round(case when total >= 25 then greatest(0.5, least(1.0, hits / total)) else 0.5 end, 6) as confidence from w join total using (doc_id)""")
+c as (select doc_id, edition, count(*) as hits from d join i using (shingle) group by 1, 2),
+w as (select * from c qualify row_number() over (partition by doc_id order by hits desc, edition) = 1)
+select documents.doc_id as doc_id, case when total >= 25 then edition else 'none' end as edition, coalesce(hits, 0) as hits, coalesce(total, 0) as total,
+  round(case when total >= 25 then greatest(0.5, least(1.0, hits / total)) else 0.5 end, 6) as confidence from documents left join w using (doc_id) left join total using (doc_id)""")
 def lang_detect_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Editions are the languages of every other document; the others are told apart by their shingles."""
-    docs = table(spark, sf_dir, "documents")
-    found = matching.votes(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"), "doc_id", "lang", n=3)
+    """Which of three editions each document quotes; most quote none often enough."""
+    editions = table(spark, sf_dir, "benchmark").select("text", F.concat(F.lit("e"), (F.col("item_id") % 3).cast("string")).alias("edition"))
+    found = matching.votes(table(spark, sf_dir, "documents"), editions, "doc_id", "edition", n=4)
     return found.withColumn("confidence", F.round("confidence", 6))
 
 
@@ -73,8 +72,7 @@ p as (select doc_id, item_id, common, n_left, n_right, round(common / (n_left +
 
 @query(_PAIRS + "select * from p")
 def shingle_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = matching.shingle_rows(table(spark, sf_dir, "documents"), "doc_id", 6)
-    pairs = matching.overlaps(left, matching.shingle_rows(table(spark, sf_dir, "benchmark"), "item_id", 6), "doc_id", "item_id")
+    pairs = matching.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", 6)
     return pairs.withColumn("jaccard", F.round("jaccard", 6)).withColumn("containment", F.round("containment", 6))
 
 
@@ -89,21 +87,6 @@ def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.size(tokens(F.col("text")))).alias("n_tokens"))
 
 
-_GARBAGE = r"""length(regexp_replace(l, '[ \t]', '', 'g')) > 0 and (length(regexp_replace(l, '[^A-Za-z]', '', 'g')) * 2 < length(regexp_replace(l, '[ \t]', '', 'g')) or not regexp_matches(l, '[A-Za-z]{3}'))"""
-
-
-@query(f"select doc_id, count(*) as n_lines, count(*) filter (where {_GARBAGE}) as n_garbage, round(count(*) filter (where {_GARBAGE}) / count(*), 6) as rate from (select doc_id, unnest(string_split(text, chr(10))) as l from documents) group by 1")
-def ocr_garbage_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    bad = matching.garbage_line(F.col("line"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(bad).alias("n_garbage"), F.round(F.avg(bad.cast("double")), 6).alias("rate"))
-
-
-@query("select source, trim(l) as line, count(*) as n from (select source, unnest(string_split(text, chr(10))) as l from documents) where trim(l) <> '' group by 1, 2 having count(*) >= 10")
-def page_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.chrome_lines(table(spark, sf_dir, "documents"), "doc_id", "source")
-
-
 _K = f"""
 with d as {_shingles("documents", "doc_id", 6)}, b as {_shingles("benchmark", "item_id", 6)},
 g as (select distinct doc_id, item_id from {_shingles("documents", "doc_id", 8)} join {_shingles("benchmark", "item_id", 8)} using (shingle)),
@@ -153,19 +136,18 @@ def unknown_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 with w as (select distinct unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) as word from benchmark)
-select word, case
-  when word like '%ies' and length(word) > 4 then left(word, length(word) - 3) || 'y' when word like '%ness' and length(word) > 6 then left(word, length(word) - 4)
-  when word like '%ing' and length(word) > 5 then left(word, length(word) - 3) when word like '%eth' and length(word) > 5 then left(word, length(word) - 3)
-  when word like '%est' and length(word) > 5 then left(word, length(word) - 3) when word like '%ed' and length(word) > 4 then left(word, length(word) - 2)
-  when word like '%es' and length(word) > 4 then left(word, length(word) - 2) when word like '%s' and length(word) > 3 then left(word, length(word) - 1) else word end as stem
+select word, case when word like '%eth' and length(word) > 4 or word like '%est' and length(word) > 4 then left(word, length(word) - 3) when word like '%ies' and length(word) > 4 then left(word, length(word) - 3) || 'y'
+  when word like '%ing' and length(word) > 4 then left(word, length(word) - 3) when word like '%ed' and length(word) > 4 then left(word, length(word) - 2) when word like '%es' and length(word) > 3 then left(word, length(word) - 2)
+  when word like '%s' and word not like '%ss' and length(word) > 3 then left(word, length(word) - 1) else word end as stem
 from w where word <> ''""")
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("word")).distinct()
     return words.select("word", stem_english(F.col("word")).alias("stem"))
 
 
-@query()
+@query(f"""with b as {_shingles("benchmark", "item_id", 6)}
+select item_id, list_reduce(list_prepend(2166136261::hugeint, list_transform(string_split(shingle, ''), lambda c: ascii(c)::hugeint)), lambda h, c: (xor(h::bigint, c::bigint)::hugeint * 16777619) % 4294967296)::bigint as hash from b""")
 def shingle_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """32-bit hashes of the benchmark's shingles; rows only, as DuckDB has no such hash."""
+    """32-bit hashes of the benchmark's shingles."""
     rows = matching.shingle_rows(table(spark, sf_dir, "benchmark"), "item_id", 6)
     return rows.select("item_id", fnv1a32(F.col("shingle")).alias("hash"))

@@ -17,16 +17,16 @@ def plan_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar.dealt(spark, 150, 24).join(days, "day").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
-@query("""with u as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as i from orders where o_custkey = 7), n as (select count(*) as n from u)
-select o_orderkey, (i * 2) // greatest(n, 2) as day from u, n""")
+@query("""with u as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i, greatest(count(*) over (partition by o_custkey), 2) as n from orders)
+select o_custkey, o_orderkey, (i * 2) // n as day from u""")
 def plan_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The units of one source in order, over two days."""
+    """The units of each source in order, over two days."""
     from pyspark.sql import Window
 
-    u = table(spark, sf_dir, "orders").where("o_custkey = 7").select("o_orderkey")
-    by = Window.partitionBy(F.lit(7)).orderBy("o_orderkey")
-    n = F.greatest(F.count("*").over(Window.partitionBy(F.lit(7))), F.lit(2))
-    return u.withColumn("day", F.floor((F.row_number().over(by) - 1) * 2 / n).cast("long"))
+    u = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    by = Window.partitionBy("o_custkey")
+    n = F.greatest(F.count("*").over(by), F.lit(2))
+    return u.withColumn("day", F.floor((F.row_number().over(by.orderBy("o_orderkey")) - 1) * 2 / n).cast("long"))
 
 
 @query("select o_orderkey, strftime(o_orderdate::date + 14, '%Y-%m-%d') as date, o_orderdate::date + 14 > date '1998-01-01' as late from orders where o_orderstatus = 'O'")

@@ -79,22 +79,6 @@ def hybrid_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.linear_fusion(text, vector, "id").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(20)
 
 
-@query(_LISTS + """, e as (select doc_id as id from documents where lang = 'de' limit null),
-c as (select id from a union select id from b),
-m as (select c.id as id, (c.id in (select id from e)) as entity, a.score as cosine, b.score as text from c left join a on a.id = c.id left join b on b.id = c.id)
-select id, round(3.0 * entity::int + case when cosine >= 0.2 then cosine else 0 end + 0.5 * coalesce(text, 0) / (select max(score) from b), 6) as score from m
-where entity or cosine >= 0.2 or text is not null""")
-def history_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals added up: entity 3, cosine 1 from a floor on, text 0.5 of the best one's."""
-    vector, text = _lists(spark, sf_dir)
-    both = vector.select("id", F.col("score").alias("cosine")).join(text.select("id", F.col("score").alias("text")), "id", "full")
-    entity = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("id"), F.lit(True).alias("entity"))
-    m = both.join(F.broadcast(text.agg(F.max("score").alias("most")))).join(entity, "id", "left").withColumn("entity", F.coalesce("entity", F.lit(False)))
-    near = F.coalesce(F.col("cosine") >= 0.2, F.lit(False))
-    score = 3.0 * F.col("entity").cast("int") + F.when(near, F.col("cosine")).otherwise(0.0) + 0.5 * F.coalesce("text", F.lit(0.0)) / F.col("most")
-    return m.where(F.col("entity") | near | F.col("text").isNotNull()).select("id", F.round(score, 6).alias("score"))
-
-
 _RANKED = _S + ", r as (select vec_id, label, row_number() over (order by score desc, vec_id) as rank from s order by score desc, vec_id limit 40)"
 
 
@@ -111,34 +95,3 @@ def select_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_RANKED + """, p as (select *, label = 2 and sum((label = 2)::int) over (order by rank) <= 2 as front from r) select vec_id, label, rank, row_number() over (order by front desc, rank) as place from p""")
 def floor_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.promoted(_ranked(spark, sf_dir), F.col("label") == 2)
-
-
-@query(_RANKED + """, lead as (select label, min(rank) as first from r group by 1 order by first limit 3),
-b as (select s.vec_id, s.label, row_number() over (partition by s.label order by s.score, s.vec_id) as n from s where s.vec_id not in (select vec_id from r)),
-u as (select vec_id, label, rank as major, 0 as minor from r union all select b.vec_id, b.label, first as major, n as minor from b join lead using (label) where n <= 2)
-select vec_id, label, row_number() over (order by major, minor) as place from u""")
-def backfill_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """More rows of the leading groups, put in after each group's first hit."""
-    from pyspark.sql import Window
-
-    hits, e = _ranked(spark, sf_dir), table(spark, sf_dir, "embeddings")
-    lead = hits.groupBy("label").agg(F.min("rank").alias("major")).orderBy("major").limit(3)
-    rest = e.join(hits.select("vec_id"), "vec_id", "left_anti").withColumn("score", R.cosine(F.col("embedding"), _query(spark, sf_dir)))
-    more = best_of(rest, ["label"], [F.asc("score"), F.asc("vec_id")], 2).withColumn("minor", F.row_number().over(Window.partitionBy("label").orderBy("score", "vec_id")))
-    every = hits.select("vec_id", "label", F.col("rank").alias("major"), F.lit(0).alias("minor")).unionByName(more.join(lead, "label").select("vec_id", "label", "major", "minor"))
-    return every.select("vec_id", "label", F.row_number().over(Window.orderBy("major", "minor")).alias("place"))
-
-
-@query("""with q as (select vec_id as qid, label as ql, embedding as qe from embeddings where vec_id % 50 = 0),
-s as (select qid, ql, vec_id, label, row_number() over (partition by qid order by list_cosine_similarity(embedding::double[], qe::double[]) desc, vec_id) as rank from embeddings, q where vec_id <> qid)
-select qid, bool_or(rank = 1 and label = ql) as hit_1, count(*) filter (where label = ql) >= 2 as hit_2 from s where rank <= 5 group by 1""")
-def eval_hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated set of queries (every 50th vector) against all rows: is the first hit, are two of five, on target."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
-    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    dot = F.aggregate(F.zip_with("embedding", "qe", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = e.join(q, F.col("vec_id") != F.col("qid")).withColumn("score", dot / size(F.col("embedding")) / size(F.col("qe")))
-    best = best_of(scored.select("qid", "ql", "vec_id", "label", "score"), ["qid"], [F.desc("score"), F.asc("vec_id")], 5)
-    first = F.max_by(F.col("label") == F.col("ql"), F.struct("score", -F.col("vec_id")))
-    return best.groupBy("qid").agg(first.alias("hit_1"), (F.count_if(F.col("label") == F.col("ql")) >= 2).alias("hit_2"))
