@@ -349,7 +349,7 @@ def pooled_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.join(F.broadcast(size), "label").select("label", "dim", F.round(F.col("x") / F.col("size"), 5).alias("x"))
 
 
-_MARKS = "m as (select l_orderkey as t, l_linenumber as o, least(l_partkey % 90, 100) as s, least(l_partkey % 90 + 1 + l_suppkey % 15, 100) as e, l_returnflag as color from lineitem)"
+_MARKS = "m as (select l_orderkey as t, l_partkey::bigint * 1000000 + l_suppkey * 10 + l_linenumber as o, least(l_partkey % 90, 100) as s, least(l_partkey % 90 + 1 + l_suppkey % 15, 100) as e, l_returnflag as color from lineitem)"
 
 
 @query(f"""with {_MARKS}, b as (select t, s as x from m union select t, e from m union select distinct t, 0 from m union select distinct t, 100 from m), i as (select t, x as lo, lead(x) over (partition by t order by x) as hi from b),
@@ -358,7 +358,7 @@ g as (select *, row_number() over (partition by t order by lo) - row_number() ov
 def flattened_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping marks of a text as segments that cover it once, the last mark winning, equal neighbours merged."""
     start, end = F.col("l_partkey") % 90, F.least(F.col("l_partkey") % 90 + 1 + F.col("l_suppkey") % 15, F.lit(100))
-    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("t"), F.col("l_linenumber").alias("o"), start.alias("s"), end.alias("e"), F.col("l_returnflag").alias("color"))
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("t"), (F.col("l_partkey").cast("long") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("o"), start.alias("s"), end.alias("e"), F.col("l_returnflag").alias("color"))
     edges = m.select("t", F.explode(F.array("s", "e", F.lit(0).cast("long"), F.lit(100).cast("long"))).alias("lo")).distinct()
     pieces = edges.withColumn("hi", F.lead("lo").over(Window.partitionBy("t").orderBy("lo"))).where("hi is not null")
     covered = pieces.join(m, (pieces["t"] == m["t"]) & (m["s"] <= pieces["lo"]) & (pieces["hi"] <= m["e"]), "left").select(pieces["t"], "lo", "hi", "o", "color")
