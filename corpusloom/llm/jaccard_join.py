@@ -5,8 +5,8 @@ with fewer words, the whole sequence as one; without words, empty and linked wit
 nothing. Documents with equal sets are one class, whose members are linked.
 
 Classes are joined by rare-first prefix filtering. How many classes hold a
-shingle is asked of the tasks that own ranges of a 40-bit key; a shingle that
-only one holds can't be shared and is dropped. A class's shingles in order of
+shingle is asked of the tasks that own ranges of a key of its hash's first bits, more
+of them for more blocks; a shingle that only one holds can't be shared and is dropped. A class's shingles in order of
 rarity, then hash, give a prefix such that similar classes share one of its
 shingles. Pairs with a common prefix shingle pass the length and positional
 filters (shingles that only one class holds count as no possible match) and a
@@ -14,12 +14,14 @@ parity sketch's bound on how far two sets differ, then the suffix filter on both
 fall into ranges), and are verified once by counting the intersection.
 
 Groups around a prefix shingle are never expanded into all their pairs: first
-each class is compared with its group's anchor, then only pairs of which the two
-are not yet connected. Links within a component found so far can't change it, so
+each class is compared with one anchor, that of a group that it is in (the one whose
+shingle hashes least, so that alike classes choose alike), then with the anchors of all its groups that
+it isn't connected with, then only pairs of which the two are not yet connected. Links within a component found so far can't change it, so
 none between different texts is lost for the components.
 
-Shingles are 64-bit hashes. Null texts count as empty. Rows without doc_id are
-left out; rows that repeat a doc_id get a row each. Other columns of the input
+Shingles are 64-bit hashes of words' hashes; words are told apart by their bytes.
+Null texts count as empty. Rows without doc_id get their size and are linked
+with nothing; rows that repeat a doc_id get a row each. Other columns of the input
 play no part.
 """
 
@@ -29,24 +31,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.blocks import Block, Extra, Parts, answer_of, answered, asked, by_block, even_edges, split_like, stored_blocks
+from corpusloom.llm.blocks import FAN, Block, Keys, answers_of, exchanged, shard_of, split_like, stored_blocks
 from corpusloom.llm.components import components
 from corpusloom.llm.shared import discard, input_partitions, written
 from corpusloom.llm.words import mix
 
-KEY_BITS = 40
-
-
 @dataclass(frozen=True)
 class Config:
     size: int = 5
     percent: int = 75
     shard_mb: float = 6.0  # of stored blocks, for each shard of keys
-    rounds: int = 3  # comparisons with anchors before the remaining pairs
+    single: int = 2  # comparisons of each class with one anchor
+    rounds: int = 2  # and then with the anchors of all its groups, before the remaining pairs
+    fan: int = FAN
 
 
 def shingles(block: Block, size: int) -> list[np.ndarray]:
@@ -114,77 +115,98 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 def sets_of(blocks: DataFrame, config: Config) -> DataFrame:
     """(block, place, doc_id, n, s1, s2) of every document: size and signature of its set."""
+    schema = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for number, payload in zip(frame["block"], frame["payload"], strict=True):
-                block = Block(payload)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row["payload"])
                 sets = shingles(block, config.size)
                 signs = np.array([signature(s) for s in sets], np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"block": number, "place": np.arange(len(sets), dtype=np.int32), "doc_id": block.doc_id, "n": [len(s) for s in sets], "s1": signs[:, 0], "s2": signs[:, 1]})
+                n = np.array([len(s) for s in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), row["block"])), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(block.doc_id, mask=~block.has_id), pa.array(n), pa.array(signs[:, 0]), pa.array(signs[:, 1])], schema=schema)
 
-    return blocks.mapInPandas(run, "block long, place int, doc_id long, n long, s1 long, s2 long")
+    return blocks.mapInArrow(run, "block long, place int, doc_id long, n long, s1 long, s2 long")
 
 
-def _rarity(parts: Parts) -> tuple[Parts, list[np.ndarray]]:
+def _rarity(_: int, parts: list[list[np.ndarray]]) -> tuple[list[list[np.ndarray]], list[int], bytes]:
     """0 for a key that one set holds, else more for more sets, in eighths of powers of two."""
     _, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate([p[1] for p in parts]))
-    level = np.where(total > 1, np.minimum(255, np.floor(8 * np.log2(total))), 0).astype(np.uint8)
-    return [[v] for v in split_like(level[at], parts)], []
+    level = np.where(total > 1, np.minimum(255, np.floor(8 * np.log2(np.maximum(total, 1)))), 0).astype(np.uint8)
+    return [[v] for v in split_like(level[at], parts)], [], b""
 
 
 def joined(documents: DataFrame, config: Config = Config()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     blocks = stored_blocks(documents, "jaccard-blocks")
     shards = input_partitions(blocks, config.shard_mb)
+    bits = min(64, 36 + shards.bit_length())
     sets = written(sets_of(blocks, config), "jaccard-sets")
-    classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "block", "place")).alias("first"))
+    classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "block", "place")).alias("first"))
     chosen = classes.select(F.col("first.block").alias("block"), F.struct(F.col("first.place").alias("place"), F.col("first.doc_id").alias("rep")).alias("c")).groupBy("block").agg(F.collect_list("c").alias("chosen"))
 
-    def keys(payload: bytes) -> tuple[np.ndarray, Extra]:
+    def keys_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         # Copies within the block count once; copies elsewhere make a shingle look less rare, which loses nothing.
-        own = {signature(s): s for s in shingles(Block(payload), config.size)}
-        key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *own.values()]) >> np.uint64(64 - KEY_BITS), return_counts=True)
-        return key, lambda a, b: [n[a:b].astype(np.int32)]
-
-    answers = answered(asked(blocks, keys, even_edges(shards, KEY_BITS)), _rarity, "jaccard-rarity")
-
-    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for payload, own, reply in zip(frame["payload"], frame["chosen"], frame["answers"], strict=True):
-                block = Block(payload)
-                all_sets = shingles(block, config.size)
-                key, _ = keys(payload)
-                rarity = np.concatenate([a[1] for a in answer_of(reply)])
-                parts, whole = [], []
-                for c in own:
+        own = {signature(s): s for s in sets}
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *own.values()]) >> np.uint64(64 - bits), return_counts=True)
+
+    def keys(row: dict) -> Keys:
+        key, n = keys_of(shingles(Block(row["payload"]), config.size))
+        return shard_of(key << np.uint64(64 - bits), shards), key, n.astype(np.int32), []
+
+    answers, _, _ = exchanged(blocks, keys, shards, _rarity, "jaccard-rarity", config.fan)
+    numbers = ["key", "rep", "n", "position", "rest", *SKETCH]
+    schema = pa.schema([*((c, pa.int64()) for c in numbers), ("hashes", pa.binary())])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                all_sets = shingles(Block(row["payload"]), config.size)
+                key, _ = keys_of(all_sets)
+                (rarity,) = answers_of(row, [np.uint8])  # shards ascend with keys, so both are in ascending order
+                spots: list[np.ndarray] = []  # (number, entry) of each class
+                whole: list[tuple[int, int, bytes]] = []
+                for c in row["chosen"]:
                     s, rep = all_sets[c["place"]], c["rep"]
-                    rare = rarity[np.searchsorted(key, s >> np.uint64(64 - KEY_BITS))]
+                    rare = rarity[np.searchsorted(key, s >> np.uint64(64 - bits))]
                     first = np.lexsort((s, rare))[: prefix_length(len(s), config.percent)]
                     position = np.flatnonzero(rare[first] > 0)
                     if len(position):
-                        own_keys = s[first[position]].view(np.int64)
-                        parts.append(pd.DataFrame({"key": own_keys, "rep": rep, "n": len(s), "position": position - position[0], "rest": len(s) - 1 - position, "hashes": None} | dict(zip(SKETCH, sketch(s), strict=True))))
-                        whole.append((0, rep, len(s), 0, 0, s.tobytes()))
-                yield pd.concat([*parts, pd.DataFrame(whole, columns=["key", "rep", "n", "position", "rest", "hashes"]).assign(**dict.fromkeys(SKETCH, 0))])
-
-    with_answers = blocks.join(chosen, "block").join(by_block(answers), "block")
-    found = written(with_answers.mapInPandas(prefixes, "key long, rep long, n long, position long, rest long, hashes binary, " + ", ".join(f"{c} long" for c in SKETCH)), "jaccard-prefixes")
+                        entry = np.empty((len(numbers), len(position)), np.int64)
+                        entry[0], entry[1], entry[2] = s[first[position]].view(np.int64), rep, len(s)
+                        entry[3], entry[4], entry[5:] = position - position[0], len(s) - 1 - position, sketch(s)[:, None]
+                        spots.append(entry)
+                        whole.append((rep, len(s), s.tobytes()))
+                if spots:
+                    table = np.concatenate(spots, axis=1)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, table), pa.nulls(table.shape[1], pa.binary())], schema=schema)
+                    reps, sizes, hashes = zip(*whole, strict=True)
+                    zero = pa.array(np.zeros(len(reps), np.int64))
+                    yield pa.RecordBatch.from_arrays([zero, pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), *[zero] * (len(numbers) - 3), pa.array(hashes, pa.binary())], schema=schema)
+
+    with_answers = blocks.join(chosen, "block").join(answers.withColumnRenamed("source", "block"), "block")
+    found = written(with_answers.mapInArrow(prefixes, ", ".join(f"{c} long" for c in numbers) + ", hashes binary"), "jaccard-prefixes")
     discard(blocks)
-    discard(answers)
     entries, whole = found.where("hashes is null").select("key", "rep", "n", "position", "rest", F.struct(SKETCH).alias("sketch")), found.where("hashes is not null").select("rep", "hashes")
     # A shingle in one prefix only leads nowhere.
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     entries = written(entries.join(shared, "key", "left_semi"), "jaccard-entries")
+    fields = F.struct("key", "n", "position", "rest", "sketch")
+    chosen_entries = entries.groupBy("rep").agg(*[F.min_by(fields, F.xxhash64("key", F.lit(k))).alias(f"e{k}") for k in range(max(1, config.single))])
+    chosen_entries = written(chosen_entries, "jaccard-chosen-entries")
+    whole = written(whole.join(chosen_entries.select("rep"), "rep", "left_semi"), "jaccard-sets-of-entries")
+    discard(found)
 
     tried, links, labels = None, None, None
-    for step in range(config.rounds + 1):
-        marked = entries if labels is None else entries.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    anchored = config.single + config.rounds
+    for step in range(anchored + 1):
+        asked = chosen_entries.select("rep", f"e{step}.*") if step < config.single else entries
+        marked = asked if labels is None else asked.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
         marked = marked.withColumn("label", F.col("rep") if labels is None else F.coalesce("component", "rep")).select("key", "rep", "n", "position", "rest", "sketch", "label")
-        if step < config.rounds:
-            # A text that others are copies of has few shingles of its own, so its shared ones come early: it is the first anchor.
-            order = F.struct(F.col("position") if step == 0 else F.lit(0), F.xxhash64("rep", F.lit(step)))
+        if step < anchored:
+            # A text that others are copies of has few shingles of its own, so fewer come before a shared one: it is the anchor, but in the last round.
+            order = F.struct(F.col("n") - F.col("rest") if step < anchored - 1 else F.lit(0).cast("long"), F.xxhash64("rep", F.lit(step)))
             anchors = marked.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "position", "rest", "sketch", "label")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "x")
             pairs = marked.join(anchors, "key").select(*_pair(""), *_pair("x.", "2"))
         else:
@@ -211,21 +233,25 @@ def joined(documents: DataFrame, config: Config = Config()) -> DataFrame:
     by_class = classes.select("n", "s1", "s2", F.col("first.doc_id").alias("rep"))
     if labels is not None:
         by_class = by_class.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("rep"))
-    return sets.join(by_class, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
+    of_row = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
+    return sets.join(by_class, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), of_row.alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, config: Config = Config()) -> DataFrame:
-    """The rows of documents without those linked with a smaller doc_id; of rows that repeat a doc_id one stays.
+    """The rows of documents without those linked with a smaller doc_id; of rows that repeat a doc_id and its text, but for case, one stays.
 
-    Rows without words are linked with nothing, so they stay, as do rows without doc_id.
+    Rows without words are linked with nothing, so they stay, as do rows without
+    doc_id. A doc_id that repeats with other texts stays if any of them does.
     """
     found = written(joined(documents, config), "jaccard-found")
-    out = documents.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(documents.columns)
-    repeated = written(found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "jaccard-repeated")
+    by_id = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("component"), F.count("*").alias("c")), "jaccard-ids")
+    out = documents.join(by_id.where("component < doc_id").select("doc_id"), "doc_id", "left_anti").select(documents.columns)
+    repeated = by_id.where("c > 1").select("doc_id")
     if repeated.isEmpty():
         return out
     single = out.join(repeated, "doc_id", "left_anti").select(documents.columns)
-    return single.union(out.join(repeated, "doc_id", "left_semi").select(documents.columns).dropDuplicates(["doc_id"]))
+    hashed = out.join(repeated, "doc_id", "left_semi").withColumn("_lower_case", F.sha2(F.lower("text"), 256))
+    return single.union(hashed.dropDuplicates(["doc_id", "_lower_case"]).select(documents.columns))
 
 
 def _pair(of: str, suffix: str = "") -> list:
@@ -235,11 +261,12 @@ def _pair(of: str, suffix: str = "") -> list:
 def _verified(pairs: DataFrame, whole: DataFrame, config: Config) -> DataFrame:
     """(a, b, linked) of each pair. A pair's first set travels to the second's task; skewed ids are split by the joins."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            linked = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), config.percent) for x, y in zip(frame["x"], frame["y"], strict=True)]
-            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "linked": linked})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c) for c in ("x", "y"))
+            linked = [similar(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), config.percent) for i in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     left = pairs.join(whole.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a")
     both = left.join(whole.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long, linked boolean")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
