@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import mmap
+import tempfile
 
 import numpy as np
 
@@ -101,59 +102,63 @@ class Monotone:
 
 
 class Trie:
-    """Contexts, pointers to their successors, the successors, and a code for each of them.
+    """Contexts with a code each, pointers to their successors, the successors, and a code for each of them.
 
-    A successor is stored as context place * width + word, so that the whole
-    level is one monotone sequence; a context's own part lies between two
-    pointers.
+    A successor is stored as context place * 2**32 + token, so that the whole level is
+    one monotone sequence; a successor is looked for among its context's own, which lie
+    between two pointers. Contexts and tokens have 32 bits, in this trie.
     """
 
-    def __init__(self, base: np.ndarray, contexts: Monotone, pointers: Monotone, successors: Monotone, codes: np.ndarray):
-        self.base, self.contexts, self.pointers, self.successors, self.codes = base, contexts, pointers, successors, codes
+    def __init__(self, contexts: Monotone, pointers: Monotone, successors: Monotone, codes: np.ndarray, weights: np.ndarray, memory: mmap.mmap | None = None):
+        self.contexts, self.pointers, self.successors, self.codes, self.weights, self.memory = contexts, pointers, successors, codes, weights, memory
 
     @classmethod
-    def of(cls, context: np.ndarray, word: np.ndarray, codes: np.ndarray) -> Trie:
-        """From different (context, word) in ascending order."""
+    def of(cls, context: np.ndarray, token: np.ndarray, codes: np.ndarray, weights: np.ndarray) -> Trie:
+        """From different (context, token) in ascending order with codes, and codes of the different contexts."""
         different, first = np.unique(context, return_index=True)
         place = np.searchsorted(different, context).astype(np.uint64)
-        least, width = (int(different[0]), int(word.max()) + 1) if len(context) else (0, 1)
-        return cls(
-            np.array([least, width], np.uint64), Monotone.of(different - np.uint64(least)), Monotone.of(np.append(first, len(context))),
-            Monotone.of(place * np.uint64(width) + word.astype(np.uint64)), codes.astype(np.uint8),
-        )
-
-    def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The code of each (context, word), 0 where the trie has none."""
-        out = np.zeros(len(context), np.uint8)
+        return cls(Monotone.of(different), Monotone.of(np.append(first, len(context))), Monotone.of((place << np.uint64(32)) | token.astype(np.uint64)), codes.astype(np.uint8), weights.astype(np.uint8))
+
+    def lookup(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code of each (context, token) and of its context, 0 where the trie has none."""
+        code, weight = np.zeros(len(context), np.uint8), np.zeros(len(context), np.uint8)
         if not self.successors.n:
-            return out
-        least, width = self.base
+            return code, weight
         different, at = np.unique(context, return_inverse=True)
-        place = self.contexts.find(different - least)
-        place[different < least] = -1
+        place = self.contexts.find(different)
         known = np.maximum(place, 0)
         begin, end = (self.pointers.get(known + k).astype(np.int64) for k in (0, 1))
-        some = np.flatnonzero((place[at] >= 0) & (word < width))
+        some = np.flatnonzero(place[at] >= 0)
         own = at[some]
-        spot = self.successors.find(known[own].astype(np.uint64) * width + word[some].astype(np.uint64), begin[own], end[own])
-        out[some] = np.where(spot >= 0, self.codes[np.maximum(spot, 0)], 0)
-        return out
+        weight[some] = self.weights[known[own]]
+        spot = self.successors.find((known[own].astype(np.uint64) << np.uint64(32)) | token[some].astype(np.uint64), begin[own], end[own])
+        code[some] = np.where(spot >= 0, self.codes[np.maximum(spot, 0)], 0)
+        return code, weight
 
     def to_bytes(self) -> bytes:
-        arrays = [self.base, *self.contexts.arrays(), *self.pointers.arrays(), *self.successors.arrays(), self.codes]
+        arrays = [*self.contexts.arrays(), *self.pointers.arrays(), *self.successors.arrays(), self.codes, self.weights]
         head = np.array([len(a) for a in arrays], np.int64)
         return b"".join([head.tobytes(), *(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)])
 
     @classmethod
     def mapped(cls, stored: bytes) -> Trie:
-        """The trie over a mapped copy of its bytes; nothing is unpacked."""
-        memory = mmap.mmap(-1, len(stored))
-        memory.write(stored)
-        kinds = [np.uint64, *[np.int64, np.uint64, np.uint64, np.int64] * 3, np.uint8]
+        """The trie over a mapped file of its bytes, which is gone when it is closed; nothing is unpacked."""
+        with tempfile.TemporaryFile() as file:
+            file.write(stored)
+            file.flush()
+            memory = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        kinds = [*[np.int64, np.uint64, np.uint64, np.int64] * 3, np.uint8, np.uint8]
         head = np.frombuffer(memory, np.int64, len(kinds))
         arrays, at = [], head.nbytes
         for kind, n in zip(kinds, head.tolist(), strict=True):
             arrays.append(np.frombuffer(memory, kind, n, at))
             at += -(-arrays[-1].nbytes // 8) * 8
-        levels = [Monotone(*arrays[1 + 4 * k : 5 + 4 * k]) for k in range(3)]
-        return cls(arrays[0], *levels, arrays[-1])
+        levels = [Monotone(*arrays[4 * k : 4 + 4 * k]) for k in range(3)]
+        return cls(*levels, arrays[-2], arrays[-1], memory)
+
+    def __enter__(self) -> Trie:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        """Let go of the mapped memory, which is freed with the last array over it."""
+        self.contexts = self.pointers = self.successors = self.codes = self.weights = self.memory = None
