@@ -18,21 +18,21 @@ occur; other columns of the input play no part. An empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.llm.shared import written
-from corpusloom.llm.words import Words, chunks
+from corpusloom.llm.words import slices
 
 
 @dataclass(frozen=True)
@@ -48,84 +48,94 @@ class Config:
 # ---- token ids
 
 BATCH = 4000  # words that the tokenizer encodes at once
-CHUNK = 1_000_000  # bytes of text, likewise; a longer text comes alone
+CHUNK = 2_000_000  # bytes of text in a batch of results
+WINDOW = 1_000_000  # characters of a text that are cut into pieces at once
 
 
 class Encoder:
-    """Ids of many texts, as the tokenizer gives them for each whole text.
+    """Ids of texts, as the tokenizer gives them for each whole text.
 
-    The tokenizer's words never reach over white space, so the ids of a text are
-    those of its space-separated parts in order; each different part of a batch
-    is encoded once, and parts seen before come from a bounded cache.
+    This vocabulary's words never reach over white space, and a part of a text
+    that holds only letters, digits and marks falls into runs of letters, single
+    digits and runs of marks, which the tokenizer's model encodes directly; pieces seen
+    before come from a cache of bounded size. Words with any other character, and
+    all texts of another vocabulary, go through the whole tokenizer.
     """
 
-    CACHE = 150_000
-    #: Plain letters with marks after them: the letters, lower-cased, and the marks are encoded apart.
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*|()-]+)")
+    CACHE = 24 << 20  # bytes, about
+    # What this vocabulary's normaliser and splitter do with such characters.
+    _PLAIN = r"A-Za-zÀ-ÖØ-öø-ÿ0-9.,!?;:#$%&*|()+=/_@\-"
+    OTHER = re.compile(rf"([^\t-\r ]*[^{_PLAIN}\t-\r ][^\t-\r ]*)")
+    PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
+    SPACE = re.compile(r"[\t-\r ]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        # Both shortcuts rest on this vocabulary's way of cutting words; any other is encoded text by text.
+        # The shortcuts rest on this vocabulary's way of cutting words; any other is encoded text by text.
         self.parts = spec["pre_tokenizer"] is not None and "Removed" in json.dumps(spec["pre_tokenizer"]) and "Lowercase" in json.dumps(spec["normalizer"])
-        self.cache: dict[str, np.ndarray] = {}
-
-    def _plain(self, parts: list[str]) -> list[np.ndarray]:
-        missing = list(dict.fromkeys(p for p in parts if p not in self.cache))
-        if len(self.cache) + len(missing) > self.CACHE:
-            self.cache = {p: self.cache[p] for p in parts if p in self.cache}
-        for k in range(0, len(missing), BATCH):
-            some = missing[k : k + BATCH]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[p] = np.array(e.ids, np.uint32)
-        return [self.cache[p] for p in parts]
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one row, and how many each text has."""
+        # How the model writes the bytes of the letters beyond ASCII.
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {c: "".join(x for x, _ in level.pre_tokenize_str(chr(c))) for c in range(0xC0, 0x100)}
+        self.cache: dict[str, bytes] = {}
+        self.held = 0
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text of letters, digits, marks and white space, as 32-bit integers."""
+        pieces = self.PIECE.findall(text.lower())
+        missing = set(pieces).difference(self.cache)
+        if self.held > self.CACHE and missing:
+            self.cache = {p: self.cache[p] for p in set(pieces) - missing}
+            self.held = sum(map(len, self.cache.values())) + 150 * len(self.cache)
+        tokenize = self.tokenizer.model.tokenize
+        for p in missing:
+            ids = array("I", [t.id for t in tokenize(p if p.isascii() else p.translate(self.written))]).tobytes()
+            self.cache[p] = ids
+            self.held += 150 + len(p) + len(ids)
+        return b"".join(map(self.cache.__getitem__, pieces))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = []
+        for k in range(0, len(texts), BATCH):
+            found += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + BATCH], add_special_tokens=False)]
+        return found
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as 32-bit integers."""
         if not self.parts:
-            ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)]
-            return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(i) for i in ids], np.int64)
-        w = Words(texts, lower=False)
-        _, first, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        raw = w.raw.tobytes()
-        words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(w.start[first], w.end[first], strict=True)]
-        matched = [self.PLAIN.fullmatch(x) for x in words]
-        heads = self._plain([m[1].lower() if m else x.lower() if x.isascii() and x.isalpha() else x for m, x in zip(matched, words, strict=True)])
-        tails = iter(self._plain([m[2] for m in matched if m]))
-        own = [np.concatenate([h, next(tails)]) if m else h for h, m in zip(heads, matched, strict=True)]
-        sizes = np.array([len(x) for x in own], np.int64)
-        table, begin = np.concatenate([np.zeros(0, np.uint32), *own]), np.concatenate([[0], np.cumsum(sizes)])
-        n = sizes[which]
-        stop = np.cumsum(n)
-        ids = table[np.repeat(begin[which] - (stop - n), n) + np.arange(n.sum())]
-        return ids, np.bincount(w.doc, weights=n, minlength=len(texts)).astype(np.int64)
-
-
-@functools.cache
-def encoder_for(path: str) -> Encoder:
-    """One a worker process, with its cache."""
-    return Encoder(path)
+            return self._whole([text])[0]
+        out, at = [], 0
+        while at < len(text):
+            cut = self.SPACE.search(text, at + WINDOW) if len(text) - at > WINDOW else None
+            end = cut.end() if cut else len(text)
+            runs = self.OTHER.split(text[at:end])  # plain parts, and the words between them
+            others = self._whole(runs[1::2])
+            for i, run in enumerate(runs):
+                out.append(others[i // 2] if i % 2 else self._plain(run) if run else b"")
+            at = end
+        return b"".join(out)
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, config: Config = Config(), keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every row; a document's ids end with config.end_id."""
+    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * keep_ids
+    end = np.array([config.end_id], "<u4").tobytes()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_for(tokenizer_path)
-        for rows, texts in chunks(frames, CHUNK):
-            ids, counts = encoder.encode(texts)
-            out, at = [], 0
-            for doc_id, n in zip(rows["doc_id"], counts, strict=True):
-                own = np.append(ids[at : at + n], np.uint32(config.end_id)).astype("<u4")
-                at += n
-                for piece, start in enumerate(range(0, len(own), config.capacity)):
-                    part = own[start : start + config.capacity]
-                    out.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), *([part.astype(np.int64)] if keep_ids else [])))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer_path)
+        for rows in slices(batches, CHUNK):
+            out = []
+            for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                own = encoder.encode(text or "") + end
+                for piece, start in enumerate(range(0, len(own) // 4, config.capacity)):
+                    part = own[4 * start : 4 * (start + config.capacity)]
+                    out.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int64)] if keep_ids else [])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*out, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids)
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids)
 
 
 # ---- the plan, on counts
@@ -267,8 +277,8 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int, begun: Packed
     return [(copies, sorted(held.items(), reverse=True)) for some in groups.values() for copies, held in some]
 
 
-def slots(packed: list[tuple[int, list[tuple[int, int]]]]) -> pd.DataFrame:
-    """For each (pattern, length): length, first piece number, times in a sequence, first sequence id, first offset."""
+def slots(packed: Packed) -> np.ndarray:
+    """Rows (length, first piece number, times in a sequence, first sequence id, first offset) of each (pattern, length), in ascending order."""
     rows, sequence, used = [], 0, {}
     for copies, held in packed:
         offset = 0
@@ -277,7 +287,7 @@ def slots(packed: list[tuple[int, list[tuple[int, int]]]]) -> pd.DataFrame:
             used[length] = used.get(length, 0) + copies * times
             offset += length * times
         sequence += copies
-    return pd.DataFrame(rows, columns=["length", "first", "times", "sequence", "offset"]).sort_values(["length", "first"], ignore_index=True)
+    return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
 def place(rows: DataFrame, config: Config = Config()) -> DataFrame:
@@ -294,21 +304,18 @@ def place(rows: DataFrame, config: Config = Config()) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")).cast("long")
     numbered = dealt.withColumn("_nth", nth).join(before, ["length", "_bucket"]).withColumn("_number", F.col("_nth") - 1 + F.col("_before"))
 
-    table = slots(plan(histogram, config))
-    length_at, first, times, sequence, offset = (table[c].to_numpy() for c in ("length", "first", "times", "sequence", "offset"))
+    length_at, first, times, sequence, offset = slots(plan(histogram, config)).T
     key, columns = length_at * (1 << 40) + first, rows.columns
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            length, number = frame["length"].to_numpy(), frame["_number"].to_numpy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, number = batch.column("length").to_numpy(), batch.column("_number").to_numpy()
             at = np.searchsorted(key, length * (1 << 40) + number, "right") - 1
             within = number - first[at]
-            out = frame[columns].copy()
-            out["sequence_id"] = sequence[at] + within // times[at]
-            out["offset"] = offset[at] + within % times[at] * length
-            yield out
+            added = [pa.array(sequence[at] + within // times[at]), pa.array(offset[at] + within % times[at] * length)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *added], [*columns, "sequence_id", "offset"])
 
-    return numbered.mapInPandas(run, StructType([*rows.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    return numbered.mapInArrow(run, StructType([*rows.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 def pack(documents: DataFrame, tokenizer_path: str, config: Config = Config(), keep_ids: bool = False) -> DataFrame:
