@@ -1,13 +1,15 @@
 """License scans: paragraphs classified by licence family with DataFrame functions.
 
-Paragraphs are lines. Features are word 1- to 3-grams (A-Z in lower case; words
+Paragraphs are lines, and what neighbouring lines that each hold a content word (below)
+make together, as notices are often wrapped: such a run counts where it is a confirmed licence and
+none of its lines is by itself. Features are word 1- to 3-grams (A-Z in lower case; words
 are runs of a-z, 0-9 and dots between them) that occur in the templates and hold
 a content word, that is, one no ordinary paragraph of the training sample has. A
 multinomial logistic regression over these sparse features and the share of a
 paragraph's words that are content words is fitted on a bounded sample: the
 templates, whole and with words left out, and ordinary paragraphs as class
-"unknown". The unknown class's offset is calibrated on ordinary paragraphs that
-were held back. A prediction counts as confirmed when enough of the n-grams of
+"unknown"; texts of which a template is a good part are not ordinary. The unknown class's offset is calibrated on ordinary paragraphs that
+were held back, so that at most a share of `mistaken` of them looks like a licence. A prediction counts as confirmed when enough of the n-grams of
 one of the family's templates are found in the paragraph.
 
 Fitting happens on a few thousand feature rows of that sample; scanning all
@@ -26,7 +28,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Notices by family, as licences ask for them to be written.
@@ -90,6 +92,8 @@ NOT_WORD = r"[^a-z0-9.]+|\.(?![a-z0-9])|(?<![a-z0-9])\."
 class Config:
     sample_documents: int = 300  # ordinary documents whose paragraphs may be sampled
     sample_paragraphs: int = 3000
+    sample_words: int = 400  # ordinary paragraphs with more are not sampled
+    mistaken: float = 0.001  # share of the ordinary paragraphs held back
     left_out: int = 8  # variants of each template with words left out
     steps: int = 300
     rate: float = 0.5
@@ -121,9 +125,21 @@ def ngrams(words: Column) -> Column:
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, words) of every line that holds a word."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    return lines.select("doc_id", "paragraph", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    """(doc_id, text, paragraph, words) of every line that holds a word; text is a hash that tells texts of the same doc_id apart."""
+    lines = documents.select("doc_id", F.xxhash64("text").alias("text"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    return lines.select("doc_id", "text", "paragraph", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+
+
+UNIT = ["doc_id", "text", "run", "paragraph", "lines"]
+
+
+def with_runs(lines: DataFrame) -> DataFrame:
+    """(UNIT, words) of lines, and of each run of two or more neighbouring ones as one, from its first."""
+    order = Window.partitionBy("doc_id", "text").orderBy("paragraph")
+    single = lines.dropDuplicates(["doc_id", "text", "paragraph"]).withColumn("run", F.col("paragraph") - F.row_number().over(order)).withColumn("lines", F.lit(1))
+    runs = single.groupBy("doc_id", "text", "run").agg(F.count("*").cast("int").alias("lines"), F.array_sort(F.collect_list(F.struct("paragraph", "words"))).alias("w")).where("lines > 1")
+    joined = runs.select("doc_id", "text", "run", F.col("w")[0]["paragraph"].alias("paragraph"), "lines", F.flatten(F.col("w.words")).alias("words"))
+    return single.select(*UNIT, "words").unionByName(joined)
 
 
 @dataclass
@@ -173,12 +189,12 @@ def train(ordinary: list[list[str]], config: Config = Config()) -> Model:
             x[i, -1] = 1
         return x
 
-    # Paragraphs without a feature are all alike: one row stands for them, with their weight.
+    # Equal rows, such as all without a feature, are fitted as one. The root of how many they were is their weight, so that ordinary text doesn't outweigh the families.
     x, target = matrix(fit_rows), np.eye(len(FAMILIES))[y]
     x, which = np.unique(np.column_stack([x, target]), axis=0, return_inverse=True)
     count = np.bincount(which.ravel()).astype(float)
     x, target = x[:, : len(features) + 2], x[:, len(features) + 2 :]
-    weight = np.minimum(count, 40.0)[:, None] / len(x)
+    weight = np.sqrt(count)[:, None] / len(x)
     theta, m, v = (np.zeros((x.shape[1], len(FAMILIES))) for _ in range(3))
     for step in range(1, config.steps + 1):
         z = x @ theta
@@ -188,22 +204,28 @@ def train(ordinary: list[list[str]], config: Config = Config()) -> Model:
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta -= config.rate / 5 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     model = Model(content, features, theta[:-2], theta[-2], theta[-1].copy())
-    # Calibrated: no held-back ordinary paragraph, nor one without features, may look like a licence; half a nat to spare.
-    worst = 0.0
-    for words in [*ordinary[half:], []]:
-        z = model.logits(words)
-        worst = max(worst, float(z[:-1].max() - z[-1]) + 0.5)
-    model.bias[-1] += worst
+    # Calibrated on the paragraphs held back, and on one without features, which must stay unknown; half a nat to spare.
+    lead = np.array([z[:-1].max() - z[-1] for z in map(model.logits, ordinary[half:])])
+    nothing = float(model.bias[:-1].max() - model.bias[-1])
+    model.bias[-1] += max(0.0, nothing + 0.5, float(np.quantile(lead, 1 - config.mistaken)) + 0.5 if len(lead) else 0.0)
     return model
 
 
 def fit(documents: DataFrame, config: Config = Config()) -> Model:
-    """Learn from the templates and at most config.sample_paragraphs paragraphs that hold no whole template."""
+    """Learn from the templates and at most config.sample_paragraphs whole paragraphs that hold less than half of each template's 3-grams, and fewer of theirs than others."""
     few = documents.where("doc_id is not null and text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.sample_documents)
     sample = paragraphs(documents.join(F.broadcast(few), "doc_id", "left_semi"))
-    whole = [" ".join(plain_words(t)) for family in TEMPLATES.values() for t in family]
-    joined = F.array_join("words", " ")
-    ordinary = sample.where(~F.exists(F.array(*map(F.lit, whole)), lambda t: F.contains(joined, t))).select(F.slice("words", 1, 400).alias("words"), F.xxhash64("doc_id", "paragraph").alias("h"))
+    triples = [[" ".join(w[i : i + 3]) for i in range(len(w) - 2)] for family in TEMPLATES.values() for t in family if len(w := plain_words(t)) > 2]
+    own = ngrams(F.col("words"))
+    like = [F.size(F.array_intersect(own, F.array(*map(F.lit, t)))) * 2 >= len(set(t)) for t in triples]
+    alike = like[0]
+    for x in like[1:]:
+        alike = alike | x
+    # So is a line of a wrapped notice, most of whose own 3-grams are a template's.
+    shared = F.size(F.array_intersect(own, F.array(*map(F.lit, sorted({t for ts in triples for t in ts})))))
+    alike = alike | ((shared > 0) & (shared * 2 >= F.size("words") - 2))
+    few_words = sample.where(F.size("words") <= config.sample_words).withColumn("h", F.xxhash64("doc_id", "paragraph")).orderBy("h").limit(2 * config.sample_paragraphs)
+    ordinary = few_words.where(~alike).select("words", "h")
     return train([list(r.words) for r in ordinary.orderBy("h").limit(config.sample_paragraphs).collect()], config)
 
 
@@ -218,39 +240,44 @@ def values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
 
 
 def scan(documents: DataFrame, model: Model, config: Config = Config()) -> DataFrame:
-    """(doc_id, paragraph, family, probability, containment, confirmed) of each paragraph classified as a licence."""
+    """(doc_id, paragraph, lines, family, probability, containment, confirmed) of each paragraph classified as a licence; a run has its first line's number."""
     spark = documents.sparkSession
     if not model.features:
-        return documents.limit(0).select(F.col("doc_id").cast("long"), F.lit(0).alias("paragraph"), F.lit("").alias("family"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("containment"), F.lit(False).alias("confirmed"))
+        return documents.limit(0).select(F.col("doc_id").cast("long"), F.lit(0).alias("paragraph"), F.lit(0).alias("lines"), F.lit("").alias("family"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("containment"), F.lit(False).alias("confirmed"))
     content = F.array(*map(F.lit, model.content))
     # Documents, then paragraphs, without any content word have no feature.
     some = documents.where(F.arrays_overlap(words_of(F.col("text")), content))
-    lines = paragraphs(some).where(F.arrays_overlap("words", content))
-    grams = lines.select(
-        "doc_id", "paragraph", F.size("words").alias("size"),
+    units = with_runs(paragraphs(some).where(F.arrays_overlap("words", content)))
+    grams = units.select(
+        *UNIT, F.size("words").alias("size"),
         F.size(F.filter("words", lambda w: F.array_contains(content, w))).alias("hits"), F.explode(ngrams(F.col("words"))).alias("gram"),
     )
     templates = [(f"{family}:{i}", plain_ngrams(plain_words(t))) for family in TEMPLATES for i, t in enumerate(TEMPLATES[family])]
     weighed = values(spark, [(f, [float(x) for x in w], [float(f in g) for _, g in templates]) for f, w in zip(model.features, model.weights, strict=True)], "gram, weight, held")
     families, of = range(len(FAMILIES)), {f: [i for i, (t, _) in enumerate(templates) if t.rsplit(":", 1)[0] == f] for f in TEMPLATES}
-    sums = grams.join(F.broadcast(weighed), "gram").groupBy("doc_id", "paragraph", "size", "hits").agg(
+    sums = grams.join(F.broadcast(weighed), "gram").groupBy(*UNIT, "size", "hits").agg(
         *[F.sum(F.col("weight")[k]).alias(f"w{k}") for k in families], *[F.sum(F.col("held")[k]).alias(f"t{k}") for k in range(len(templates))]
     )
     logit = [F.col(f"w{k}") + F.lit(float(model.bias[k])) + F.lit(float(model.share[k])) * F.col("hits") / F.col("size") for k in families]
-    scored = sums.select("doc_id", "paragraph", F.array(*logit).alias("z"), *[f"t{k}" for k in range(len(templates))])
+    scored = sums.select(*UNIT, F.array(*logit).alias("z"), *[f"t{k}" for k in range(len(templates))])
     top = F.array_max("z")
     place = F.array_position("z", top).cast("int")
     features = set(model.features)
     share = [F.greatest(*[F.col(f"t{i}") / max(1, len(templates[i][1] & features)) for i in of[f]], F.lit(0.0)) for f in TEMPLATES] + [F.lit(0.0)]
-    return (
+    found = (
         scored.withColumn("family", F.element_at(F.array(*map(F.lit, FAMILIES)), place)).where(F.col("family") != "unknown")
         .select(
-            "doc_id", "paragraph", "family",
+            *UNIT, "family",
             (1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("probability"),
             F.element_at(F.array(*share), place).alias("containment"),
         )
         .withColumn("confirmed", F.col("containment") >= config.confirm)
     )
+    of_run = Window.partitionBy("doc_id", "text", "run")
+    alone, run = (F.col("lines") == 1) & F.col("confirmed"), (F.col("lines") > 1) & F.col("confirmed")
+    marked = found.withColumn("_alone", F.bool_or(alone).over(of_run)).withColumn("_run", F.bool_or(run).over(of_run))
+    kept = marked.where(F.when(F.col("lines") > 1, F.col("confirmed") & ~F.col("_alone")).otherwise(F.col("_alone") | ~F.col("_run")))
+    return kept.select("doc_id", "paragraph", "lines", "family", "probability", "containment", "confirmed")
 
 
 def by_document(documents: DataFrame, found: DataFrame) -> DataFrame:
