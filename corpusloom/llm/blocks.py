@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import discard, written
-from corpusloom.llm.words import digests, exact_words, slices
+from corpusloom.llm.words import digests, exact_words, slices, trimmed
 
 BLOCK = 3_000_000  # bytes of text
 FAN = 4096  # requests that a block sends, at most
@@ -146,6 +146,7 @@ def exchanged(blocks: DataFrame, keys: Callable[[dict], Keys], shards: int, answ
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            trimmed()
             for row in batch.to_pylist():
                 shard, key, n, more = keys(row)
                 order = asking_order(shard, key)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.blocks import FAN, Block, Keys, answers_of, exchanged, shard_of, split_like, stored_blocks
 from corpusloom.llm.components import components
 from corpusloom.llm.shared import discard, input_partitions, written
-from corpusloom.llm.words import mix
+from corpusloom.llm.words import mix, trimmed
 
 @dataclass(frozen=True)
 class Config:
@@ -161,6 +161,7 @@ def joined(documents: DataFrame, config: Config = Config()) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            trimmed()
             for row in batch.to_pylist():
                 all_sets = shingles(Block(row["payload"]), config.size)
                 key, _ = keys_of(all_sets)

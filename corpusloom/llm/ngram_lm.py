@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.blocks import FAN, Answer, Block, Keys, answers_of, asking_order, exchanged, shard_of, split_like, stored_blocks
 from corpusloom.llm.elias_fano import Trie
 from corpusloom.llm.shared import input_partitions, written
-from corpusloom.llm.words import mix
+from corpusloom.llm.words import mix, trimmed
 
 STEPS = 254
 BEGIN, END = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC2B2AE3D27D4EB4F)  # stand for hashes of the places before and after a text
@@ -278,6 +278,7 @@ def scored(documents: DataFrame, held_out: Callable[[int], bool], config: Config
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            trimmed()
             for row in batch.to_pylist():
                 block = Block(row["payload"])
                 t = Tokens(block, held_out, config.order)

@@ -6,6 +6,7 @@ classifiers. exact_words() tells words apart by their bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,9 +102,26 @@ def encoded(text: object) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
+TRIM = 32_000_000  # bytes of rows after which freed memory is given back
+
+
+def trimmed() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Rows with some `size` bytes of text in all; a longer text comes alone."""
+    trimmed()
+    seen = 0
     for batch in batches:
+        seen += batch.nbytes
+        if seen > TRIM:
+            trimmed()
+            seen = 0
         lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
         begin = total = 0
         for i, n in enumerate(lengths):
