@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from corpusloom.functions.normalize import normal, normalized
+from corpusloom.functions.normalize import normal, normalized, snapped_quote
 
 RANGE = "start: bigint, end: bigint"
 ITEM = f"{RANGE}, translation: string, source_id: bigint, title: string, author: string, note: string"
@@ -157,6 +157,47 @@ def violations(
     return reduce(DataFrame.unionByName, out)
 
 
+def _number(text: Column) -> Column:
+    """A whole number that came as one or as text; null for anything else."""
+    return F.when(text.rlike(r"^\s*-?\d+\s*$"), F.trim(text).try_cast("bigint"))
+
+
+def normalized_answers(answers: DataFrame, sections: DataFrame) -> DataFrame:
+    """answers (response_id, body, ...) with what must not fail a check for its form set right, before violations().
+
+    Numbers written as text become numbers. A voice gets the attribution of the section it
+    cites, by place from 1 among those it was offered, whatever it typed; the section's
+    origin counts, else the one claimed, else corpus. A quote that drifts from the section is cut to
+    its verbatim beginning, if that is enough of it. A place that wasn't offered, and a body that isn't JSON with
+    blocks, stay as they are. sections: response_id, place, author, work, tradition, slug, origin, body.
+    """
+    loose = ANSWER.replace("bigint", "string")
+    parsed = answers.withColumn("_a", F.from_json("body", loose))
+    whole = {"start": "start", "end": "end", "source_id": "source_id"}
+    numbers = lambda r, names: F.struct(*[(_number(r[n]) if n in whole else r[n]).alias(n) for n in names])
+    block = parsed.where("_a.blocks is not null").select("response_id", F.posexplode("_a.blocks").alias("_at", "b"))
+    voice = F.col("b.type") == "voice"
+    s = sections.select("response_id", F.col("place").cast("long").alias("_place"), F.struct("author", "work", "tradition", "slug", "origin", "body").alias("s"))
+    cited = block.withColumn("_place", F.when(voice, _number(F.col("b.section_id")))).join(s, ["response_id", "_place"], "left")
+    claimed = F.when(F.col("b.attribution.origin").isin("corpus", "user_library"), F.col("b.attribution.origin"))
+    typed, own = F.col("b.attribution"), F.col("s")
+    stated = F.struct(
+        own["author"].alias("author"), own["work"].alias("work"), F.nullif(own["slug"], F.lit("")).alias("slug"), F.lit(None).cast("int").alias("year"),
+        own["tradition"].alias("tradition"), F.coalesce(own["origin"], claimed, F.lit("corpus")).alias("origin"),
+    )
+    quote = F.coalesce(snapped_quote(F.col("b.quote"), own["body"]), F.col("b.quote"))
+    right = F.struct(
+        F.col("b.type").alias("type"), F.col("b.text").alias("text"), _number(F.col("b.section_id")).alias("section_id"), F.when(own.isNotNull(), stated).otherwise(typed).alias("attribution"), quote.alias("quote"),
+        F.col("b.summary").alias("summary"), F.transform("b.anchors", lambda r: numbers(r, ("start", "end"))).alias("anchors"),
+        F.transform("b.items", lambda r: numbers(r, ("start", "end", "translation", "source_id", "title", "author", "note"))).alias("items"),
+    )
+    # An answer's blocks are few, so they come together again as one array.
+    blocks = cited.select("response_id", "_at", right.alias("b")).groupBy("response_id").agg(F.array_sort(F.collect_list(F.struct("_at", "b"))).alias("_blocks"))
+    both = parsed.join(blocks, "response_id", "left")
+    body = F.to_json(F.struct(F.col("_a.contract_version").alias("contract_version"), F.col("_a.teacher").alias("teacher"), F.col("_blocks.b").alias("blocks")))
+    return both.withColumn("body", F.when(F.col("_blocks").isNotNull(), body).otherwise(F.col("body"))).select(answers.columns)
+
+
 def pass_rates(answers: DataFrame, found: DataFrame, suite: str = "suite") -> DataFrame:
     """(suite, n, n_passed, rate): answers without a violation."""
     failed = found.select("response_id").distinct().withColumn("failed", F.lit(1))

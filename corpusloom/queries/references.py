@@ -31,7 +31,9 @@ def _text(*parts: object) -> Column:
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-_C, _V, _W = F.col("c"), F.col("v"), F.col("written")
+def _parts() -> tuple[Column, Column, Column]:
+    return F.col("c"), F.col("v"), F.col("written")
+
 
 _AT = "(book * 1000000 + c * 1000 + v)"
 
@@ -40,10 +42,11 @@ _AT = "(book * 1000000 + c * 1000 + v)"
 case form when 0 then {_AT} when 1 then {_AT} when 2 then {_AT} when 3 then book * 1000000 + c * 1000 + 1 end as start, case form when 0 then {_AT} when 1 then {_AT} + 3 when 2 then book * 1000000 + c * 1000 + 999 when 3 then book * 1000000 + (c + 1) * 1000 + 999 end as "end" from m""")
 def reference_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole strings in five forms: a verse, a range, a verse and what follows, chapters, and a backwards range, which is refused."""
+    chapter, verse, written = _parts()
     form = F.col("form")
     text = (
-        F.when(form == 0, _text(_W, " ", _C, " ", _V)).when(form == 1, _text(_W, " ", _C, ":", _V, "–", _V + 3)).when(form == 2, _text(_W, _C, ".", _V, "ff"))
-        .when(form == 3, _text(" ", _W, "  ", _C, " - ", _C + 1)).otherwise(_text(_W, " ", _C, ":", _V + 1, "-", _V))
+        F.when(form == 0, _text(written, " ", chapter, " ", verse)).when(form == 1, _text(written, " ", chapter, ":", verse, "–", verse + 3)).when(form == 2, _text(written, chapter, ".", verse, "ff"))
+        .when(form == 3, _text(" ", written, "  ", chapter, " - ", chapter + 1)).otherwise(_text(written, " ", chapter, ":", verse + 1, "-", verse))
     )
     got = _columns(spark, sf_dir).select("o_orderkey", R.reference(text).alias("r"))
     first = F.get("r.ranges", 0)
@@ -55,9 +58,10 @@ union all select o_orderkey, '1 Corinthians ' || (c % 10 + 1) || ':' || v || '
 union all select o_orderkey, 'Romans ' || c || ':' || (v + 1), 45000000 + c * 1000 + v + 1, 45000000 + c * 1000 + v + 1, true from m where form = 1 and book <> 45""")
 def reference_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References in prose: with ordinals, digits written on to names, verses after a blank, and words that only look like one."""
+    chapter, verse, written = _parts()
     m = _columns(spark, sf_dir)
-    more = F.when((F.col("form") == 1) & (F.col("name") != "Romans"), _text(" So romans ", _C, " ", _V + 1, " too.")).otherwise("")
-    prose = _text("In chapter 3 and top 6 see ", F.col("name"), " ", _C, ":", _V, ", and also 1Cor ", _C % 10 + 1, ":", _V, "-", _V + 2, ". He had 3 dogs 4 cats.", more)
+    more = F.when((F.col("form") == 1) & (F.col("name") != "Romans"), _text(" So romans ", chapter, " ", verse + 1, " too.")).otherwise("")
+    prose = _text("In chapter 3 and top 6 see ", F.col("name"), " ", chapter, ":", verse, ", and also 1Cor ", chapter % 10 + 1, ":", verse, "-", verse + 2, ". He had 3 dogs 4 cats.", more)
     found = m.select("o_orderkey", F.explode(R.references(prose)).alias("r"))
     return found.select("o_orderkey", "r.display", "r.start", "r.end", "r.explicit")
 
@@ -71,8 +75,9 @@ union all select o_orderkey, 5, 'A heading', 7000000 + c * 1000 + 1, 7000000 + c
 union all select o_orderkey, 6, 'A heading', 47008016, 47008016 from o""")
 def topic_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists whose later references inherit book and chapter, with labels from their line or one above."""
+    chapter, verse, written = _parts()
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 15 + 1).alias("c"))
-    body = _text("- Laws of: Ex ", _C, ":14-16, 27-31; ", _C + 1, ":1, 2\nA heading:\nJud ", _C, " 2 Co 8:16")
+    body = _text("- Laws of: Ex ", chapter, ":14-16, 27-31; ", chapter + 1, ":1, 2\nA heading:\nJud ", chapter, " 2 Co 8:16")
     return o.select("o_orderkey", F.inline(R.topic_entries(body)["entries"])).select("o_orderkey", "ordinal", "label", "start", "end")
 
 

@@ -74,6 +74,20 @@ def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.violations(_answers(spark, sf_dir), sections, sources, translations, missing, {1: 50})
 
 
+@query("""select doc_id as response_id, source, 1 as section_id, source as author, lang as work, 'user_library' as origin, 1001001 as "start", text as quote from documents""")
+def contract_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose numbers are texts and whose attribution is mistyped, set right from the section they cite."""
+    docs = table(spark, sf_dir, "documents")
+    typed = F.struct(F.lit("Someone").alias("author"), F.lit("else").alias("work"), F.lit("corpus").alias("origin"))
+    anchor = F.array(F.struct(F.lit(" 1001001 ").alias("start"), F.lit("1001005").alias("end")))
+    voice = F.struct(F.lit("voice").alias("type"), F.lit("1").alias("section_id"), typed.alias("attribution"), F.col("text").alias("quote"), anchor.alias("anchors"))
+    body = F.concat(F.lit('{"contract_version":"1.1","teacher":"t","blocks":['), F.to_json(voice), F.lit("]}"))
+    sections = docs.select(F.col("doc_id").alias("response_id"), F.lit(1).alias("place"), F.col("source").alias("author"), F.col("lang").alias("work"), F.col("lang").alias("tradition"), F.lit("").alias("slug"), F.lit("user_library").alias("origin"), F.col("text").alias("body"))
+    right = contract.normalized_answers(docs.select(F.col("doc_id").alias("response_id"), "source", body.alias("body")), sections)
+    block = F.from_json("body", contract.ANSWER)["blocks"][0]
+    return right.select("response_id", "source", block["section_id"].alias("section_id"), block["attribution"]["author"].alias("author"), block["attribution"]["work"].alias("work"), block["attribution"]["origin"].alias("origin"), block["anchors"][0]["start"].alias("start"), block["quote"].alias("quote"))
+
+
 _V = """with d as (select doc_id as response_id, source, n_chars, text is null as lacking from documents),
 v as (select response_id, null::int as block, 'schema' as check_ from d where lacking
 union all select response_id, 0, 'attribution_work' from d where not lacking and n_chars % 2 <> 0

@@ -6,9 +6,13 @@ the unit of parallel work; each holds one book or chapter.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.chunking import Piece, chunked
+
 ENTRY = "author string, work string, sourceTitle string, sourceUrl string, tradition string, year int, verseStart long, verseEnd long, text string"
 # The codes of the books, in order.
 BOOKS = """
@@ -46,6 +50,21 @@ def occurrence_ids(rows: DataFrame, base: str, *order: str) -> DataFrame:
     return rows.withColumn("source_id", F.when(nth == 0, F.col(base)).otherwise(F.concat_ws("#", base, nth.cast("string"))))
 
 
+def commentary_chunks(entries: DataFrame, books: DataFrame, cutter: Callable[[str], Iterable[Piece]]) -> DataFrame:
+    """(source_id, chunk, verse_id, verse_end, text) with what each entry says of itself, of entries() that have a text.
+
+    books: book, slug. An id names book, chapter, verses, author and work; those that repeat are numbered
+    over the whole file before empty entries go, so that none of these renumbers the rest.
+    """
+    work = F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("sourceTitle", F.lit(""))), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 60)
+    verses = F.concat_ws("-", "verseStart", "verseEnd")
+    named = entries.join(F.broadcast(books.select("book", "slug")), "book").withColumn("_base", F.concat_ws(":", F.lit("commentary"), "slug", "chapter", verses, "author", work))
+    numbered = occurrence_ids(named, "_base", "file", "position").drop("_base").where(F.trim("text") != "")
+    whole = numbered.withColumn("verse_id", verse_id(F.col("book"), F.col("chapter"), F.col("verseStart"))).withColumn("verse_end", verse_id(F.col("book"), F.col("chapter"), F.col("verseEnd")))
+    pieces = chunked(whole, "source_id", cutter)
+    return pieces.withColumnRenamed("ordinal", "chunk").drop("heading").join(whole.drop("text", "file", "position"), "source_id")
+
+
 def tagged_words(spark: SparkSession, path: str) -> DataFrame:
     """(verse_id, position, w, l, tr, s, m, g) of files {book, chapter, verses: {verse: [word]}}."""
     word = "w: string, l: string, tr: string, s: string, m: string, g: string"

@@ -75,3 +75,14 @@ def test_sinks(spark: SparkSession, tmp_path: Path) -> None:
         sinks.copy_tables(spark, "/root/testdata/sf0.001", str(tmp_path / "copy"), ["region", "other"], frozenset({"region"}))
     sinks.copy_tables(spark, "/root/testdata/sf0.001", str(tmp_path / "copy"), ["region"], frozenset({"region"}))
     assert spark.read.parquet(str(tmp_path / "copy" / "region.parquet")).count() == 5
+
+
+def test_commentary_chunks(spark: SparkSession) -> None:
+    rows = [("f", 1, 1, p, a, "My Work!", t, 1, 2) for p, (a, t) in enumerate([("A", "first. second."), ("A", " "), ("A", "third"), ("B", "fourth")])]
+    entries = spark.createDataFrame(rows, "file string, book int, chapter int, position int, author string, sourceTitle string, text string, verseStart long, verseEnd long")
+    books = spark.createDataFrame([(1, "genesis")], "book int, slug string")
+    found = readers.commentary_chunks(entries, books, lambda t: [(None, p) for p in t.split(". ")])
+    assert sorted((r.source_id, r.chunk, r.text, r.verse_id, r.verse_end) for r in found.collect()) == [
+        ("commentary:genesis:1:1-2:A:my-work", 0, "first", 1001001, 1001002), ("commentary:genesis:1:1-2:A:my-work", 1, "second.", 1001001, 1001002),
+        ("commentary:genesis:1:1-2:A:my-work#2", 0, "third", 1001001, 1001002), ("commentary:genesis:1:1-2:B:my-work", 0, "fourth", 1001001, 1001002),
+    ]

@@ -83,3 +83,22 @@ def test_contract(spark: SparkSession) -> None:
 def test_chunked_rows(spark: SparkSession) -> None:
     docs = spark.createDataFrame([(1, "One. Two."), (2, None), (3, "")], "doc_id long, text string")
     assert [tuple(r) for r in chunking.chunked(docs, "doc_id", chunking.prose).collect()] == [(1, 0, None, "One. Two.")]
+
+
+def test_answers_are_set_right(spark: SparkSession) -> None:
+    body = {"contract_version": "1.0", "teacher": "t", "blocks": [
+        {"type": "voice", "section_id": " 2", "attribution": {"author": "typed", "origin": "user_library"}, "quote": "In the beginning was the word, and the word was with others who drift", "anchors": [{"start": "43001001", "end": 43001002}]},
+        {"type": "voice", "section_id": "9", "attribution": {"author": "typed", "work": "w"}, "quote": "kept"},
+        {"type": "reading", "items": [{"source_id": "7", "title": "a", "author": "b"}, {"source_id": "seven", "title": "a", "author": "b"}]},
+    ]}
+    answers = spark.createDataFrame([(1, json.dumps(body)), (2, "no json"), (3, None)], "response_id int, body string")
+    text = "In the beginning was the word, and the word was with God, and so on for long."
+    sections = spark.createDataFrame([(1, 1, "x", "x", "x", None, None, "x"), (1, 2, "John", "Gospel", "none", "john", None, text)], "response_id int, place int, author string, work string, tradition string, slug string, origin string, body string")
+    found = {r.response_id: r.body for r in contract.normalized_answers(answers, sections).collect()}
+    assert (found[2], found[3]) == ("no json", None)
+    first, second, reading = json.loads(found[1])["blocks"]
+    assert first["attribution"] == {"author": "John", "work": "Gospel", "slug": "john", "tradition": "none", "origin": "user_library"}
+    assert (first["section_id"], first["anchors"]) == (2, [{"start": 43001001, "end": 43001002}])
+    assert first["quote"] == "In the beginning was the word, and the word was with"
+    assert (second["section_id"], second["attribution"]["author"], second["quote"]) == (9, "typed", "kept")
+    assert [i.get("source_id") for i in reading["items"]] == [7, None]
