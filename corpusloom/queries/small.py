@@ -35,18 +35,18 @@ def lateral_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("c_custkey", F.when(good, F.coalesce("n", F.lit(0))).alias("n"), F.when(good, F.round("total", 2)).alias("total"))
 
 
-@query("""with p(i, cust, status, price) as (select row_number() over (order by o_orderkey), o_custkey, o_orderstatus, case when o_orderkey % 2 = 0 then o_totalprice end from orders)
-select i, o_orderkey from p join orders o on o.o_custkey = p.cust and o.o_orderstatus = p.status qualify row_number() over (partition by i order by coalesce(o.o_totalprice = p.price, false) desc, o_orderkey) = 1""")
+@query("""with p(batch, i, cust, status, price) as (select o_orderkey // 500, row_number() over (partition by o_orderkey // 500 order by o_orderkey), o_custkey, o_orderstatus, case when o_orderkey % 2 = 0 then o_totalprice end from orders)
+select batch, i, o_orderkey from p join orders o on o.o_custkey = p.cust and o.o_orderstatus = p.status qualify row_number() over (partition by batch, i order by coalesce(o.o_totalprice = p.price, false) desc, o_orderkey) = 1""")
 def locate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parallel arrays of probes, numbered in order, each with its row: the one whose content is equal, else the first."""
+    """Batches of probes as parallel arrays, numbered in order within each, with the row of each probe: the one whose content is equal, else the first."""
     o = table(spark, sf_dir, "orders")
-    # All probes in order; a batch of them arrives as arrays, which are zipped and numbered.
-    numbered = o.select(F.row_number().over(Window.orderBy("o_orderkey")).alias("i"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("price"))
-    batches = numbered.groupBy(F.floor((F.col("i") - 1) / 200).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("i", "cust", "status", "price"))).alias("rows")).select("batch", *[F.col(f"rows.{c}").alias(c) for c in ("cust", "status", "price")])
-    probes = batches.select("batch", F.posexplode(F.arrays_zip("cust", "status", "price")).alias("pos", "p")).select((F.col("batch") * 200 + F.col("pos") + 1).alias("i"), "p.*")
+    probe = F.struct("o_orderkey", F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("price"))
+    # A batch is small by its definition, so its arrays are.
+    batches = o.groupBy(F.floor(F.col("o_orderkey") / 500).alias("batch")).agg(F.array_sort(F.collect_list(probe)).alias("rows")).select("batch", *[F.col(f"rows.{c}").alias(c) for c in ("cust", "status", "price")])
+    probes = batches.select("batch", F.posexplode(F.arrays_zip("cust", "status", "price")).alias("pos", "p")).select("batch", (F.col("pos") + 1).cast("long").alias("i"), "p.*")
     hit = probes.join(o, (F.col("o_custkey") == F.col("cust")) & (F.col("o_orderstatus") == F.col("status")))
     same = F.coalesce(F.col("o_totalprice") == F.col("price"), F.lit(False))
-    return hit.groupBy("i").agg(F.min_by("o_orderkey", F.struct((~same).alias("other"), "o_orderkey")).alias("o_orderkey"))
+    return hit.groupBy("batch", "i").agg(F.min_by("o_orderkey", F.struct((~same).alias("other"), "o_orderkey")).alias("o_orderkey"))
 
 
 # ---- aggregates

@@ -18,4 +18,8 @@ def test_rows_of_sql(spark: SparkSession, name: str) -> None:
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES.keys() - catalog.ORACLES.keys()))
 def test_runs(spark: SparkSession, name: str) -> None:
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+    df = catalog.QUERIES[name](spark, SF)
+    rows = df.collect()
+    # fts_english asks for words that these tables don't hold; the others find something.
+    assert rows or name == "fts_english"
+    assert len(set(df.columns)) == len(df.columns)
