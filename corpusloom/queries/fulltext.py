@@ -85,7 +85,7 @@ def fts_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fts_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question by English stems, without common words; SQL here has no such stemmer."""
-    node = T.parsed("licensing the restrictions", "english")
+    node = T.parsed("licensing the versions", "english")
     found = T.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), node, "english")
     return found.select("doc_id", F.round(T.rank(F.col("words"), node), 8).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(50)
 
