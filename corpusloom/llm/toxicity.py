@@ -34,6 +34,7 @@ from corpusloom.llm.shared import labelled_sample
 from corpusloom.llm.words import PUNCTUATION, Words, chunks, encoded
 
 THRESHOLD = 0.7
+SLICE = 300_000  # bytes of text that are scored at once
 
 
 @dataclass(frozen=True)
@@ -246,7 +247,7 @@ def score(documents: DataFrame, model: Model, config: Config = Config()) -> Data
     """(doc_id, score, predicted) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in chunks(batches):
+        for rows, texts in chunks(batches, SLICE):
             s = scores(model, texts, config)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -257,7 +258,7 @@ def kept(documents: DataFrame, model: Model, config: Config = Config()) -> DataF
     """The rows of documents that aren't predicted toxic, as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in chunks(batches):
+        for rows, texts in chunks(batches, SLICE):
             yield rows.filter(pa.array(scores(model, texts, config) < THRESHOLD))
 
     return documents.mapInArrow(run, documents.schema)
