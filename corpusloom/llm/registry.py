@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import jaccard_join, licenses, media, ngram_lm, packing, pieces, quality, secrets, toxicity, vector_join
+from corpusloom.llm import collocations, fill_middle, jaccard_join, licenses, media, ngram_lm, packing, pieces, quality, secrets, toxicity, vector_join
 from corpusloom.llm.shared import fold
 from corpusloom.session import table
 
@@ -77,3 +77,19 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return licenses.by_document(documents, licenses.scan(documents, licenses.fit(documents)))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = collocations.SQL
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.transform(table(spark, sf_dir, "documents"), digests=True)
+
+
+ORACLES["op13_fill_middle"] = fill_middle.SQL
