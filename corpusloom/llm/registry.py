@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import collocations, fill_middle, jaccard_join, licenses, media, ngram_lm, packing, pieces, quality, secrets, toxicity, vector_join
+from corpusloom.llm import collocations, fill_middle, jaccard_join, licenses, media, ngram_lm, packing, pieces, pii, quality, secrets, toxicity, vector_join
 from corpusloom.llm.shared import fold
 from corpusloom.session import table
 
@@ -87,6 +87,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_collocations"] = collocations.SQL
 
 
+@query
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pii.scan(documents, pii.fit(documents))
+
+
 @query
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.transform(table(spark, sf_dir, "documents"), digests=True)
