@@ -63,7 +63,9 @@ def overlaps(left: DataFrame, right: DataFrame, left_key: str, right_key: str, n
 
     def sets(df: DataFrame, key: str, size: str) -> DataFrame:
         own = df.select(key, shingles(ocr_tokens(F.col(text)), n).alias("s"))
-        return own.select(key, F.size("s").cast("long").alias(size), F.explode("s").alias("shingle")).withColumn("h", F.xxhash64("shingle"))
+        # An outer explode: from an inner one the optimiser would infer that s has elements, and cut each text again to test it.
+        rows = own.select(key, F.size("s").cast("long").alias(size), F.explode_outer("s").alias("shingle"))
+        return rows.where(F.col("shingle").isNotNull()).withColumn("h", F.xxhash64("shingle"))
 
     a, b = sets(left, left_key, "n_left"), sets(right, right_key, "n_right")
     common = a.join(b, ["h", "shingle"]).groupBy(left_key, right_key).agg(F.count("*").alias("common"), F.first("n_left").alias("n_left"), F.first("n_right").alias("n_right"))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators import sweep
+
 
 def _class(start: Column, end: Column, width: int) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log2((end - start + 1) / width))).cast("int")
@@ -59,10 +61,9 @@ def overlaps(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], righ
     return both.where(longer & (F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & (F.col("_bucket") == first)).drop("_class", "_bucket", "_left", "_right")
 
 
-def uncovered(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, width: int = 1000) -> DataFrame:
+def uncovered(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str) -> DataFrame:
     """Points that no interval holds."""
-    held = stab(points.select(point).distinct(), intervals.select(start, end).distinct(), point, start, end, width).select(point).distinct()
-    return points.join(held, point, "left_anti").select(points.columns)
+    return sweep.covered(points, intervals, point, start, end, n="_n").where("_n = 0").drop("_n")
 
 
 def key(book: Column, chapter: Column, verse: Column) -> Column:

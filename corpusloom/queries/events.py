@@ -51,12 +51,14 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k")).where(F.col("k").between(10, 20))
 
 
-@query(f"""select 'event' as kind, event_type as name, event_id as id from events where user_id = 8 union all
-select 'turn' as kind, role as name, conv_id * 1000 + turn as id from conversations where conv_id < 20""")
+@query("""with log as (select 'event' as kind, event_type as name, event_id as id from events union all
+select 'turn' as kind, role as name, conv_id * 1000 + turn as id from conversations)
+select kind, name, id from log where name in ('click', 'error', 'user') order by id desc, kind limit 100""")
 def query_log_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "events").where("user_id = 8").select(F.lit("event").alias("kind"), F.col("event_type").alias("name"), F.col("event_id").alias("id"))
-    b = table(spark, sf_dir, "conversations").where("conv_id < 20").select(F.lit("turn").alias("kind"), F.col("role").alias("name"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
-    return a.unionByName(b)
+    """Two logs in one shape; the latest of some names, whichever log they are in."""
+    a = table(spark, sf_dir, "events").select(F.lit("event").alias("kind"), F.col("event_type").alias("name"), F.col("event_id").alias("id"))
+    b = table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), F.col("role").alias("name"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    return a.unionByName(b).where(F.col("name").isin("click", "error", "user")).orderBy(F.desc("id"), "kind").limit(100)
 
 
 @query("select strftime(time_bucket(interval 10 minutes, ts), '%Y-%m-%d %H:%M') as start, user_id, count(*) as n from events group by 1, 2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import ranges
+from corpusloom.operators import ranges, sweep
 from corpusloom.queries.registry import query
 from corpusloom.session import table
 
@@ -36,26 +36,23 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_SPANS} select p_partkey, count(distinct o_custkey) as n_sources, count(distinct o_orderkey) as n_units from part join spans on p_partkey between lo and hi group by 1")
 def coverage_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = ranges.stab(_points(spark, sf_dir), _spans(spark, sf_dir), "p_partkey", "lo", "hi", 64)
-    return hits.groupBy("p_partkey").agg(F.count_distinct("o_custkey").alias("n_sources"), F.count_distinct("o_orderkey").alias("n_units"))
+    spans = _spans(spark, sf_dir)
+    n = sweep.covered(_points(spark, sf_dir).select("p_partkey"), spans, "p_partkey", "lo", "hi", "o_custkey", "n_sources")
+    return sweep.covered(n.where("n_sources > 0"), spans, "p_partkey", "lo", "hi", "o_orderkey", "n_units")
 
 
 @query(f"""with {_SPANS}, c as (select p_partkey, count(distinct o_custkey) as n from part left join spans on p_partkey between lo and hi group by 1)
 select least(n, 3) as n_sources, count(*) as n_points from c group by 1""")
 def voice_floor_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(spark, sf_dir)
-    n = ranges.stab(points, _spans(spark, sf_dir), "p_partkey", "lo", "hi", 64).groupBy("p_partkey").agg(F.count_distinct("o_custkey").alias("n"))
-    every = points.join(n, "p_partkey", "left").select(F.least(F.coalesce("n", F.lit(0)), F.lit(3)).alias("n_sources"))
-    return every.groupBy("n_sources").agg(F.count("*").alias("n_points"))
+    n = sweep.covered(_points(spark, sf_dir), _spans(spark, sf_dir), "p_partkey", "lo", "hi", "o_custkey")
+    return n.select(F.least("n", F.lit(3)).alias("n_sources")).groupBy("n_sources").agg(F.count("*").alias("n_points"))
 
 
 @query(f"""with {_SPANS}, c as (select p_brand, p_partkey, count(o_orderkey) > 0 as hit from part left join spans on p_partkey between lo and hi group by 1, 2)
 select p_brand, count(*) as n_points, count(*) filter (where hit) as n_covered, round(count(*) filter (where hit) / count(*), 6) as share from c group by 1""")
 def coverage_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(spark, sf_dir)
-    hit = ranges.stab(points, _spans(spark, sf_dir), "p_partkey", "lo", "hi", 64).select("p_partkey").distinct().withColumn("hit", F.lit(True))
-    every = points.join(hit, "p_partkey", "left").groupBy("p_brand").agg(F.count("*").alias("n_points"), F.count("hit").alias("n_covered"))
-    return every.withColumn("share", F.round(F.col("n_covered") / F.col("n_points"), 6))
+    every = sweep.covered(_points(spark, sf_dir), _spans(spark, sf_dir), "p_partkey", "lo", "hi")
+    return every.groupBy("p_brand").agg(F.count("*").alias("n_points"), F.count_if(F.col("n") > 0).alias("n_covered")).withColumn("share", F.round(F.col("n_covered") / F.col("n_points"), 6))
 
 
 @query(f"""with {_SPANS}, x as (select p_partkey, count(distinct o_custkey) as n from part join spans on p_partkey between lo and hi group by 1),
@@ -63,14 +60,15 @@ y as (select p_partkey, count(distinct o_custkey) as n from part join spans on p
 select x.p_partkey as p_partkey, x.n as before, coalesce(y.n, 0) as after, case when coalesce(y.n, 0) < 2 and x.n >= 2 then 'floor_broken' else 'fewer' end as class from x left join y on x.p_partkey = y.p_partkey where coalesce(y.n, 0) < x.n""")
 def coverage_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points that lose sources when some are withdrawn, and those that fall under two."""
-    hits = ranges.stab(_points(spark, sf_dir), _spans(spark, sf_dir), "p_partkey", "lo", "hi", 64)
-    n = hits.groupBy("p_partkey").agg(F.count_distinct("o_custkey").alias("before"), F.count_distinct(F.when(F.col("o_orderstatus") != "F", F.col("o_custkey"))).alias("after"))
-    return n.where("after < before").withColumn("class", F.when((F.col("after") < 2) & (F.col("before") >= 2), "floor_broken").otherwise("fewer"))
+    spans = _spans(spark, sf_dir)
+    before = sweep.covered(_points(spark, sf_dir).select("p_partkey"), spans, "p_partkey", "lo", "hi", "o_custkey", "before")
+    both = sweep.covered(before.where("before > 0"), spans.where("o_orderstatus <> 'F'"), "p_partkey", "lo", "hi", "o_custkey", "after")
+    return both.where("after < before").withColumn("class", F.when((F.col("after") < 2) & (F.col("before") >= 2), "floor_broken").otherwise("fewer"))
 
 
 @query(f"with {_SPANS} select p_partkey from part where not exists (select 1 from spans where p_partkey between lo and hi)")
 def grounding_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranges.uncovered(_points(spark, sf_dir), _spans(spark, sf_dir), "p_partkey", "lo", "hi", 64).select("p_partkey")
+    return ranges.uncovered(_points(spark, sf_dir), _spans(spark, sf_dir), "p_partkey", "lo", "hi").select("p_partkey")
 
 
 @query(f"with {_SPANS} select p_brand, min(o_orderkey) as first_unit from part join spans on p_partkey between lo and hi group by 1")

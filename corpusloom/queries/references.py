@@ -97,12 +97,12 @@ def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select o_orderkey, case o_orderkey % 4 when 0 then o_custkey when 1 then -o_custkey when 2 then -70 when 3 then null end as first, case o_orderkey % 4 when 0 then o_custkey when 1 then -o_custkey when 2 then o_custkey when 3 then null end as last,
-coalesce(case o_orderkey % 4 when 0 then o_custkey between 50 and 90 when 1 then false when 2 then o_custkey >= 50 end, false) as overlaps from orders where o_custkey < 10000""")
+coalesce(case o_orderkey % 4 when 0 then o_custkey between 50 and 90 when 1 then false when 2 then o_custkey >= 50 end, false) as overlaps from (select o_orderkey, o_custkey % 9999 + 1 as o_custkey from orders)""")
 def stated_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years that headings state with an era, and whether they overlap A.D. 50 to 90."""
-    k, y = F.col("o_orderkey") % 4, F.col("o_custkey")
+    k, y = F.col("o_orderkey") % 4, F.col("o_custkey") % 9999 + 1  # years have four digits at most
     heading = F.when(k == 0, _text("Of A.D. ", y)).when(k == 1, _text("Kings, ", y, " B.C.")).when(k == 2, _text("From 70 BCE to A. D. ", y)).otherwise(_text("Chapter ", y))
-    got = table(spark, sf_dir, "orders").where("o_custkey < 10000").select("o_orderkey", R.years_stated(heading).alias("y"))
+    got = table(spark, sf_dir, "orders").select("o_orderkey", R.years_stated(heading).alias("y"))
     first, last = F.get("y", 0), F.get("y", 1)
     return got.select("o_orderkey", first.alias("first"), last.alias("last"), overlaps_years(first, last, R.asked_years("what happened A.D. 50-90")).alias("overlaps"))
 
