@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import contains_literal
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import selection as S
+from corpusloom.operators import vector_index as V
+from corpusloom.operators.fixpoint import shared_dir
 from corpusloom.operators.relational import best_of
 from corpusloom.queries.registry import query
 from corpusloom.queries.retrieval import _RANKED, _S, _query, _ranked
@@ -164,6 +168,10 @@ def eval_hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("qid").agg(first.alias("hit_1"), (voices >= 2).alias("hit_2"), code.alias("code"))
 
 
+_ALL = """with q as (select vec_id as qid, embedding as qe from embeddings where vec_id % 100 = 0),
+s as (select qid, vec_id, label, list_cosine_similarity(embedding::double[], qe::double[]) as score from embeddings, q where vec_id <> qid)"""
+
+
 @query("""with q as (select vec_id as qid, embedding as qe from embeddings where vec_id % 100 = 0),
 s as (select qid, vec_id, list_cosine_similarity(embedding::double[], qe::double[]) as score from embeddings, q where vec_id <> qid)
 select qid, vec_id, round(score, 6) as score from s qualify row_number() over (partition by qid order by s.score desc, vec_id) <= 10""")
@@ -173,18 +181,50 @@ def knn_all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.nearest_each(e, e.where("vec_id % 100 = 0"), 10).select("qid", "vec_id", F.round("score", 6).alias("score"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, V.Index]:
+    """All vectors, and an index of them in the shared folder."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return e, V.build(e, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", ("label",))
+
+
+@query(_ALL + " select qid, vec_id, round(score, 6) as score from s qualify row_number() over (partition by qid order by s.score desc, vec_id) <= 10")
+def knn_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector from the index, which stops where bounds prove that nothing nearer is left."""
+    e, index = _index(spark, sf_dir)
+    return V.search(index, e.where("vec_id % 100 = 0"), 10, exact=True).select("qid", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(_ALL + " select qid, vec_id, round(score, 6) as score from s where label = 1 or vec_id between 100 and 130 qualify row_number() over (partition by qid order by s.score desc, vec_id) <= 10")
+def knn_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same among the rows that a filter leaves."""
+    e, index = _index(spark, sf_dir)
+    found = V.search(index, e.where("vec_id % 100 = 0"), 10, (F.col("label") == 1) | F.col("vec_id").between(100, 130), exact=True)
+    return found.select("qid", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("with q as (select vec_id as qid from embeddings where vec_id % 100 = 0), n as (select count(*) as n from embeddings where label = 3) select qid, least(60, n.n - (select count(*) from embeddings where vec_id = qid and label = 3)) as n from q, n")
+def knn_index_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of 60 rows a filtered approximate search finds: all, as it probes more lists until it has them."""
+    e, index = _index(spark, sf_dir)
+    found = V.search(index, e.where("vec_id % 100 = 0"), 60, F.col("label") == 3, probes=2)
+    return found.groupBy("qid").agg(F.count("*").alias("n"))
+
+
+@query()
+def knn_index_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten near vectors of every hundredth from the lists of the nearest centres; tests measure its recall."""
+    e, index = _index(spark, sf_dir)
+    return V.search(index, e.where("vec_id % 100 = 0"), 10).select("qid", "vec_id", F.round("score", 6).alias("score"))
+
+
 @query("""with q as (select vec_id as qid, embedding as qe from embeddings where vec_id % 100 = 0) select qid, true as same from q""")
 def index_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two ways to the nearest rows of every hundredth vector, in one job or one by one with columns: the same ids in the same order."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    """Two ways to the nearest rows of every hundredth vector, by blocks of all vectors or through the index: the same ids in the same order."""
+    e, index = _index(spark, sf_dir)
     q = e.where("vec_id % 100 = 0")
-    by_blocks = R.nearest_each(e, q, 5)
-    dot = F.aggregate(F.zip_with("embedding", "qe", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    pairs = e.join(F.broadcast(q.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe")).limit(10_000)), F.col("vec_id") != F.col("qid"))
-    plain = best_of(pairs.select("qid", "vec_id", (dot / size("embedding") / size("qe")).alias("score")), ["qid"], [F.desc(F.round("score", 9)), F.asc("vec_id")], 5)
     ids = lambda df: df.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("s"), "vec_id"))).alias("l")).select("qid", F.col("l.vec_id").alias("ids"))
-    return ids(by_blocks).join(ids(plain).withColumnRenamed("ids", "others"), "qid").select("qid", (F.col("ids") == F.col("others")).alias("same"))
+    by_blocks, by_index = ids(R.nearest_each(e.select("vec_id", "embedding"), q.select("vec_id", "embedding"), 5)), ids(V.search(index, q, 5, exact=True))
+    return by_blocks.join(by_index.withColumnRenamed("ids", "others"), "qid", "full").select("qid", F.coalesce(F.col("ids") == F.col("others"), F.lit(False)).alias("same"))
 
 
 @query("""with c as (select doc_id as id, substring(text, 1, 1200) as t from documents where lang = 'en' order by doc_id limit 30)
