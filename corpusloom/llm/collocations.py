@@ -294,7 +294,7 @@ def mine(documents: DataFrame, config: Config = Config()) -> Mined:
 
 
 def scored(counts: DataFrame, config: Config = Config()) -> DataFrame:
-    """(lang, phrase, a, l, r, n, score) of the candidates that no longer candidate makes redundant.
+    """(lang, phrase, a, l, r, score) of the candidates that no longer candidate makes redundant.
 
     The score is floor(1000000 * a * a / (l * r)) at the cut into two parts where it is least, the first
     of equal ones. Products are decimals of 38 digits.
@@ -314,8 +314,7 @@ def scored(counts: DataFrame, config: Config = Config()) -> DataFrame:
     exact = F.expr("cast(a as decimal(16, 0)) * cast(a as decimal(16, 0)) * cast(1000000 as decimal(7, 0)) div (cast(l as decimal(16, 0)) * cast(r as decimal(16, 0)))")
     whole = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"]).withColumn("score", exact)
     least = whole.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    totals = counts.where("size = 0").select("lang", F.col("n").alias("n"))  # a row for each language
-    return least.join(totals, "lang").select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+    return least.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
 
 def ranked(scores: DataFrame, config: Config = Config()) -> DataFrame:
@@ -324,11 +323,14 @@ def ranked(scores: DataFrame, config: Config = Config()) -> DataFrame:
     part = F.pmod(F.xxhash64("phrase"), F.lit(config.parts))
     first = scores.withColumn("_part", part).withColumn("_rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*best))).where(F.col("_rank") <= config.top)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")
-    return first.withColumn("rank", rank).where(F.col("rank") <= config.top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return first.withColumn("rank", rank).where(F.col("rank") <= config.top).select("lang", "rank", "phrase", "a", "l", "r", "score")
 
 
 def collocations(documents: DataFrame, config: Config = Config()) -> DataFrame:
-    return ranked(scored(mine(documents, config).counts, config), config)
+    """(lang, rank, phrase, a, l, r, n, score). The languages' numbers of words join what is reported, a bounded number of rows for each."""
+    counts = mine(documents, config).counts
+    totals = counts.where("size = 0").select("lang", "n")
+    return ranked(scored(counts, config), config).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 #: The same for three words at most, in DuckDB's SQL; documents is a view.
