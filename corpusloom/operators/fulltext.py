@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -81,7 +82,7 @@ def needed(node: Node) -> list[str]:
 def holds(words: Column, node: Node) -> Column:
     """Whether words (nulls are words left out) fit the tree."""
     if node.op == "term":
-        return F.array_contains(words, node.words[0])
+        return F.coalesce(F.array_contains(words, node.words[0]), F.lit(False))  # null is a word left out, not a perhaps
     if node.op == "phrase":
         row = F.concat(F.lit(" "), F.array_join(words, " ", "?"), F.lit(" "))
         return F.contains(row, F.lit(f" {' '.join(node.words)} "))
@@ -114,9 +115,12 @@ def places(words: Column, term: str) -> Column:
     return F.array_compact(found)
 
 
-def _or_rank(words: Column, terms: list[str]) -> Column:
+Places = Callable[[str], Column]  # of a term, ascending from 1; none where it is missing
+
+
+def _or_rank(at: Places, terms: list[str]) -> Column:
     """For each term its weight times the sum of 1, 1/4, 1/9, ... over its occurrences, of the sum of all such; their mean."""
-    n = lambda t: F.size(places(words, t))
+    n = lambda t: F.size(at(t))
     part = lambda t: F.when(n(t) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n(t), F.lit(1))), F.lit(0.0), lambda s, j: s + WEIGHT / (j * j).cast("double")) / LIMIT).otherwise(0.0)
     return sum((part(t) for t in terms), F.lit(0.0)) / len(terms)
 
@@ -125,11 +129,11 @@ def _nearness(distance: Column) -> Column:
     return F.when(distance > 100, 1e-30).otherwise(1.0 / (1.005 + 0.05 * F.exp(distance / 1.5 - 2)))
 
 
-def _and_rank(words: Column, terms: list[str]) -> Column:
+def _and_rank(at: Places, terms: list[str]) -> Column:
     """1 less the product of what all pairs of places of two terms leave over."""
 
     def apart(a: str, b: str) -> Column:
-        pairs = F.flatten(F.transform(places(words, a), lambda p: F.transform(places(words, b), lambda q: F.abs(p - q).cast("double"))))
+        pairs = F.flatten(F.transform(at(a), lambda p: F.transform(at(b), lambda q: F.abs(p - q).cast("double"))))
         return F.aggregate(pairs, F.lit(1.0), lambda left, d: left * (1 - F.sqrt(WEIGHT * WEIGHT * _nearness(d))))
 
     left = F.lit(1.0)
@@ -139,10 +143,14 @@ def _and_rank(words: Column, terms: list[str]) -> Column:
     return F.when(left < 1, 1 - left).otherwise(1e-20)
 
 
-def rank(words: Column, node: Node) -> Column:
+def rank_at(at: Places, node: Node) -> Column:
     """How often, and for AND and phrases how near each other, the terms occur."""
     terms = node.terms()
-    return _and_rank(words, terms) if node.op in ("and", "phrase") and len(terms) > 1 else _or_rank(words, terms)
+    return _and_rank(at, terms) if node.op in ("and", "phrase") and len(terms) > 1 else _or_rank(at, terms)
+
+
+def rank(words: Column, node: Node) -> Column:
+    return rank_at(lambda t: places(words, t), node)
 
 
 @F.pandas_udf(DoubleType())
@@ -185,13 +193,17 @@ def needs(node: Node, terms: list[str]) -> list[list[list[int]]]:
     return [[[terms.index(w)] for w in node.words]]
 
 
-def cover_rank(words: Column, node: Node) -> Column:
+def cover_rank_at(at: Places, node: Node) -> Column:
     """Sum over covers of the weight of a word, divided by one and the words in between."""
     terms = node.terms()
-    marked = F.transform(words, lambda w, i: F.struct((i + 1).alias("place"), (F.array_position(F.array(*map(F.lit, terms)), w) - 1).alias("term")))
-    found = F.filter(marked, lambda x: F.coalesce(x["term"], F.lit(-1)) >= 0)
+    named = lambda i: lambda p: F.struct(p.cast("int").alias("place"), F.lit(i).alias("term"))
+    marked = [F.transform(at(t), named(i)) for i, t in enumerate(terms)]
     sides = F.array(*[F.array(*[F.array(*map(F.lit, need)) for need in side]) for side in needs(node, terms)])
-    return _covered(found, sides)
+    return _covered(F.array_sort(F.flatten(F.array(*marked))), sides)
+
+
+def cover_rank(words: Column, node: Node) -> Column:
+    return cover_rank_at(lambda t: places(words, t), node)
 
 
 def excerpt(text: str, terms: list[str], config: str, least: int = 20, most: int = 50) -> str:

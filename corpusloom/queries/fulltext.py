@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import serving
 from corpusloom.operators import fulltext as T
+from corpusloom.operators import postings as P
 from corpusloom.operators.relational import best_of, capped_count
 from corpusloom.queries.registry import query
 from corpusloom.queries.serving import _AUTHORS, _CLEAN, _URLS, _VETO, _WHOLE, _sql_list
@@ -18,10 +19,23 @@ _W = f"with w as (select *, {_CUT} as words from documents)"
 _QUESTION = '"of the" -der OR licensed under'
 
 
+def documents_index(spark: SparkSession, sf_dir: str, config: str = "simple") -> P.TextIndex:
+    return P.stored(table(spark, sf_dir, "documents"), ("doc_id",), F.col("text"), ("source", "lang"), config)
+
+
+def _turns_index(spark: SparkSession, sf_dir: str) -> P.TextIndex:
+    return P.stored(table(spark, sf_dir, "conversations"), ("conv_id", "turn"), F.col("text"), ("role",))
+
+
+def _found(spark: SparkSession, sf_dir: str, question: str | T.Node, config: str = "simple", **more: object) -> P.Found:
+    """Documents that fit, from the stored index."""
+    return P.search(documents_index(spark, sf_dir, config), spark, question, **more)
+
+
 @query(_W + """ select doc_id from w where (contains(' ' || array_to_string(words, ' ') || ' ', ' of the ') and not list_contains(words, 'der')) or (list_contains(words, 'licensed') and list_contains(words, 'under'))""")
 def fts_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase without a word, or two words."""
-    return T.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), _QUESTION).select("doc_id")
+    return _found(spark, sf_dir, _QUESTION).rows.select("doc_id")
 
 
 _SUM = lambda term: f"list_sum(list_transform(range(1, len(list_filter(words, lambda x: x = '{term}')) + 1), lambda j: 0.1 / (j * j)))"
@@ -31,8 +45,8 @@ _SUM = lambda term: f"list_sum(list_transform(range(1, len(list_filter(words, la
 where list_contains(words, 'license') or list_contains(words, 'license2') or list_contains(words, 'the') order by rank desc, doc_id limit 50""")
 def fts_or_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = T.parsed("license or license2 or the")
-    found = T.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), node)
-    return found.select("doc_id", F.round(T.rank(F.col("words"), node), 8).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(50)
+    found = _found(spark, sf_dir, node)
+    return found.rows.select("doc_id", F.round(P.rank(found, node), 8).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(50)
 
 
 _OCCURS = """, o as (select doc_id, source, unnest(list_transform(list_zip(words, range(1, len(words) + 1)), lambda x: {'w': x[1], 'p': x[2]})) as x from w where list_contains(words, 'the') and list_contains(words, 'license')),
@@ -45,8 +59,8 @@ r as (select doc_id, any_value(source) as source, round(sum(case when t <> lt th
 def fts_cover_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two words by cover density: covers are neighbouring occurrences of one and the other."""
     node = T.parsed("the license")
-    found = T.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), node)
-    return found.select("doc_id", F.round(T.cover_rank(F.col("words"), node), 8).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(50)
+    found = _found(spark, sf_dir, node)
+    return found.rows.select("doc_id", F.round(P.cover_rank(found, node), 8).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(50)
 
 
 @query(_W + """, q as (select doc_id, list_filter(list_transform(range(1, len(words) + 1), lambda i: case when words[i] = 'license' then i end), lambda i: i is not null) as a,
@@ -57,18 +71,18 @@ select doc_id, round(case when rank > 0 then rank else 1e-20 end, 6) as rank fro
 def fts_and_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two words by how near their occurrences are."""
     node = T.parsed("license licensed")
-    found = T.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), node)
-    return found.select("doc_id", F.round(T.rank(F.col("words"), node), 6).alias("rank"))
+    found = _found(spark, sf_dir, node)
+    return found.rows.select("doc_id", F.round(P.rank(found, node), 6).alias("rank"))
+
+
+_PAGE = T.parsed("the license")
 
 
 def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best document of each source for a question, ranked on words alone; texts are joined back to the page."""
-    node = T.parsed("the license")
-    docs = table(spark, sf_dir, "documents")
-    found = T.matches(docs.select("doc_id", "source", "text"), node)
-    ranked = best_of(found.select("source", "doc_id", F.round(T.cover_rank(F.col("words"), node), 8).alias("rank")), ["source"], [F.desc("rank"), F.asc("doc_id")])
-    page = ranked.orderBy(F.desc("rank"), "doc_id").limit(20)
-    return T.headlines(page.join(docs.select("doc_id", "text"), "doc_id"), node).drop("text")
+    """The best document of each source for a question, ranked on places alone."""
+    found = _found(spark, sf_dir, _PAGE, columns=("source",))
+    ranked = best_of(found.rows.select("source", "doc_id", F.round(P.cover_rank(found, _PAGE), 8).alias("rank")), ["source"], [F.desc("rank"), F.asc("doc_id")])
+    return ranked.orderBy(F.desc("rank"), "doc_id").limit(20)
 
 
 @query(_W + _OCCURS + " select source, doc_id, rank from r qualify row_number() over (partition by source order by rank desc, doc_id) = 1 order by rank desc, doc_id limit 20")
@@ -78,49 +92,47 @@ def fts_works_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fts_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same page with its excerpts."""
-    return _page(spark, sf_dir).select("source", "doc_id", "snippet")
+    """The same page with its excerpts: the texts of its 20 rows are joined to it, and no other is read into the search."""
+    page = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(_page(spark, sf_dir)), "doc_id")
+    return T.headlines(page, _PAGE).select("source", "doc_id", "snippet")
 
 
 @query()
 def fts_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question by English stems, without common words; SQL here has no such stemmer."""
     node = T.parsed("licensing the versions", "english")
-    found = T.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), node, "english")
-    return found.select("doc_id", F.round(T.rank(F.col("words"), node), 8).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(50)
+    found = _found(spark, sf_dir, node, "english")
+    return found.rows.select("doc_id", F.round(P.rank(found, node), 8).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(50)
 
 
 @query(_W + " select doc_id, lang from w where lang in ('de', 'fr') and list_contains(words, 'license') order by len(list_filter(words, lambda x: x = 'license')) desc, doc_id limit 20")
 def fts_fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search within some kinds of works only: the fence comes before the words are cut."""
+    """Search within some kinds of works only: the fence stands on the index's own columns."""
     node = T.parsed("license")
-    fenced = table(spark, sf_dir, "documents").where(F.col("lang").isin("de", "fr")).select("doc_id", "lang", "text")
-    found = T.matches(fenced, node)
-    return found.select("doc_id", "lang", T.rank(F.col("words"), node).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(20).select("doc_id", "lang")
+    found = _found(spark, sf_dir, node, where=F.col("lang").isin("de", "fr"), columns=("lang",))
+    return found.rows.select("doc_id", "lang", P.rank(found, node).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(20).select("doc_id", "lang")
 
 
 _ENTRIES = f"""e as (select doc_id, words, {_sql_list(_AUTHORS)}[(doc_id % 8 + 1)::int] as author, {_sql_list(_URLS)}[(doc_id % 5 + 1)::int] as url, doc_id % 66 as book from w)"""
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _legal_entries(spark: SparkSession, sf_dir: str, question: str) -> tuple[P.Found, Column]:
+    """Documents that fit and may be found, and their authors."""
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % n + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text", pick(_AUTHORS, 8).alias("author"), pick(_URLS, 5).alias("url"), (F.col("doc_id") % 66).alias("book"))
+    author = pick(_AUTHORS, 8)
+    return _found(spark, sf_dir, question, where=serving.searchable(author, F.col("doc_id") % 66, pick(_URLS, 5))), author
 
 
 @query(f"{_W}, {_ENTRIES}, f as (select doc_id from e where list_contains(words, 'the') and {_WHOLE} and {_CLEAN} and not {_VETO}) select least(count(*), 1000)::bigint as total, count(*) >= 1000 as capped from f")
 def fts_commentary_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many entries that may be found fit, counted up to a cap."""
-    legal = serving.searchable(F.col("author"), F.col("book"), F.col("url"))
-    return capped_count(T.matches(_entries(spark, sf_dir).where(legal), "the"))
+    return capped_count(_legal_entries(spark, sf_dir, "the")[0].rows)
 
 
 @query(f"{_W}, {_ENTRIES} select doc_id, author from e where list_contains(words, 'the') and {_WHOLE} and {_CLEAN} and not {_VETO} order by len(list_filter(words, lambda x: x = 'the')) desc, doc_id limit 25")
 def fts_commentary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    legal = serving.searchable(F.col("author"), F.col("book"), F.col("url"))
-    node = T.parsed("the")
-    found = T.matches(_entries(spark, sf_dir).where(legal), node)
-    n = F.size(T.places(F.col("words"), "the"))
-    return found.select("doc_id", "author", n.alias("n")).orderBy(F.desc("n"), "doc_id").limit(25).select("doc_id", "author")
+    found, author = _legal_entries(spark, sf_dir, "the")
+    return found.rows.select("doc_id", author.alias("author"), F.size(found.at("the")).alias("n")).orderBy(F.desc("n"), "doc_id").limit(25).select("doc_id", "author")
 
 
 _T = f"with w as (select *, {_CUT} as words from conversations)"
@@ -131,8 +143,8 @@ select conv_id, turn, case when role = 'user' then 'tombstone' else 'snippet' en
 def study_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best block of each study; what may be shown of it is settled before an excerpt of any is made."""
     node = T.parsed("the")
-    found = T.matches(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), node)
-    best = best_of(found.select("conv_id", "turn", "role", T.rank(F.col("words"), node).alias("rank")), ["conv_id"], [F.desc("rank"), F.asc("turn")])
+    found = P.search(_turns_index(spark, sf_dir), spark, node, columns=("role",))
+    best = best_of(found.rows.select("conv_id", "turn", "role", P.rank(found, node).alias("rank")), ["conv_id"], [F.desc("rank"), F.asc("turn")])
     return best.select("conv_id", "turn", F.when(F.col("role") == "user", "tombstone").otherwise("snippet").alias("state"))
 
 
@@ -140,8 +152,8 @@ def study_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's own lines."""
     node = T.parsed("the -and")
-    found = T.matches(table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text"), node)
-    return found.select("conv_id", "turn", T.rank(F.col("words"), node).alias("rank")).orderBy(F.desc("rank"), "conv_id", "turn").limit(30).select("conv_id", "turn")
+    found = P.search(_turns_index(spark, sf_dir), spark, node, where=F.col("role") == "user")
+    return found.rows.select("conv_id", "turn", P.rank(found, node).alias("rank")).orderBy(F.desc("rank"), "conv_id", "turn").limit(30).select("conv_id", "turn")
 
 
 @query("""with p as (select p_partkey, p_type, string_split(lower(p_type), ' ') as h, string_split(lower(p_name), ' ') as b from part),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators import postings as P
 from corpusloom.operators import retrieval as R
 from corpusloom.operators.relational import best_of
+from corpusloom.queries.fulltext import documents_index
 from corpusloom.queries.registry import query
 from corpusloom.session import table
 
@@ -62,8 +64,8 @@ b as (select id, row_number() over (order by tf / (tf + 1) desc, id) as rank, tf
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vector and text candidates, with ids of one space."""
     a = R.nearest(table(spark, sf_dir, "embeddings"), _query(spark, sf_dir), 30).select(F.col("vec_id").alias("id"), "score")
-    found = R.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), ["the"])
-    b = found.select(F.col("doc_id").alias("id"), R.frequency_rank(F.col("words"), ["the"]).alias("score")).orderBy(F.desc("score"), "id").limit(30)
+    found = P.search(documents_index(spark, sf_dir), spark, "the")
+    b = found.rows.select(F.col("doc_id").alias("id"), P.frequency_rank(found, ["the"]).alias("score")).orderBy(F.desc("score"), "id").limit(30)
     return R.ranked(a, "score", "id"), R.ranked(b, "score", "id")
 
 

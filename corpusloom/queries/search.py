@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import contains_literal, window_around
-from corpusloom.operators import retrieval as R
+from corpusloom.operators import postings as P
 from corpusloom.operators.relational import best_of
+from corpusloom.queries.fulltext import documents_index
 from corpusloom.queries.registry import query
 from corpusloom.session import table
 
@@ -16,12 +17,12 @@ _W = "with w as (select *, string_split(trim(regexp_replace(lower(text), '[^a-z0
 
 @query(_W + " select doc_id from w where list_contains(words, 'the') and list_contains(words, 'and') and not list_contains(words, 'der')")
 def fts_simple_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), ["the", "and"], without=["der"]).select("doc_id")
+    return P.search(documents_index(spark, sf_dir), spark, "the and -der").rows.select("doc_id")
 
 
 @query(_W + " select doc_id from w where contains(' ' || array_to_string(words, ' ') || ' ', ' of the ')")
 def fts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), [], phrase=["of", "the"]).select("doc_id")
+    return P.search(documents_index(spark, sf_dir), spark, '"of the"').rows.select("doc_id")
 
 
 _TF = ", t as (select doc_id, source, len(list_filter(words, lambda x: x = 'the')) as a, len(list_filter(words, lambda x: x = 'license')) as b from w where list_contains(words, 'the'))"
@@ -29,19 +30,18 @@ _TF = ", t as (select doc_id, source, len(list_filter(words, lambda x: x = 'the'
 
 @query(_W + _TF + " select doc_id, round(a / (a + 1) + b / (b + 1), 6) as rank from t order by rank desc, doc_id limit 30")
 def fts_simple_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), ["the"])
-    return found.select("doc_id", F.round(R.frequency_rank(F.col("words"), ["the", "license"]), 6).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(30)
+    found = P.search(documents_index(spark, sf_dir), spark, "the", also=("license",))
+    return found.rows.select("doc_id", F.round(P.frequency_rank(found, ["the", "license"]), 6).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(30)
 
 
 @query(_W + _TF + """, b as (select source, doc_id, round(a / (a + 1) + b / (b + 1), 6) as rank from t qualify row_number() over (partition by source order by round(a / (a + 1) + b / (b + 1), 6) desc, doc_id) = 1)
 select source, doc_id, rank, n_chars from b join documents using (doc_id, source)""")
 def fts_units_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best document of each source; texts are left behind before the ranking, and the rest is joined back to the few rows."""
-    docs = table(spark, sf_dir, "documents")
-    found = R.matches(docs.select("doc_id", "source", "text"), ["the"])
-    scored = found.select("source", "doc_id", F.round(R.frequency_rank(F.col("words"), ["the", "license"]), 6).alias("rank"))
+    """The best document of each source; what else is shown of it is joined to the few rows."""
+    found = P.search(documents_index(spark, sf_dir), spark, "the", also=("license",), columns=("source",))
+    scored = found.rows.select("source", "doc_id", F.round(P.frequency_rank(found, ["the", "license"]), 6).alias("rank"))
     best = best_of(scored, ["source"], [F.desc("rank"), F.asc("doc_id")])
-    return best.join(docs.select("doc_id", "n_chars"), "doc_id").select("source", "doc_id", "rank", "n_chars")
+    return best.join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select("source", "doc_id", "rank", "n_chars")
 
 
 @query("""select conv_id, turn, substring(text, greatest(strpos(lower(text), 'the') - 138, 1), 280) as snippet from conversations where contains(lower(text), 'the')""")
