@@ -49,7 +49,9 @@ class TextIndex:
     def postings(self, spark: SparkSession, terms: list[str]) -> DataFrame:
         """(term, *keys, n, places) of some terms."""
         wanted = spark.range(1).select(F.array(*[_bucket(F.lit(t)) for t in terms]).alias("b")).first().b if terms else []
-        rows = spark.read.parquet(f"{self.path}/postings")
+        # Stated, as an index of no words has no file that could tell it.
+        keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.documents(spark).select(*self.keys).schema)
+        rows = spark.read.schema(f"term string, {keys}, n int, places array<int>, bucket int").parquet(f"{self.path}/postings")
         return rows.where(F.col("bucket").isin([int(b) for b in set(wanted)]) & F.col("term").isin(terms)).drop("bucket")
 
     def documents(self, spark: SparkSession) -> DataFrame:
