@@ -1,13 +1,14 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
 Only the histogram of piece lengths reaches the driver; it has at most
-`capacity` entries however many documents there are. On it, with
-neighbouring lengths grouped, the configuration linear program (fewest
-sequences, each filled by a pattern of lengths) is solved by multiplicative
-weights: groups hold prices, a knapsack dynamic program finds
-the pattern worth most at these prices, and the prices of what the pattern
-covers fall. The patterns' weights are rounded down to whole sequences, and what
-is left is packed best fit, largest first, again on counts. The plan is a list of
+`capacity` entries however many documents there are. On it the configuration
+linear program (fewest sequences, each filled by a pattern of lengths) is solved by multiplicative
+weights: lengths hold prices, a knapsack dynamic program finds
+the pattern worth most at these prices among the lengths with the highest price a token, and the prices of what the pattern
+covers fall. The patterns' weights are rounded down to whole sequences, then those that still fit
+what is left are taken once more each, and the program is solved
+again for the lengths that are left, until its patterns take none. What remains, less than a sequence a pattern of the last
+solution, is packed best fit, largest first, on counts. If plain best fit alone needs fewer sequences it is taken. The plan is a list of
 patterns with copies. Pieces of one length are numbered in parallel (counts of
 each partition, then offsets), and a piece's number tells its sequence and place.
 
@@ -39,10 +40,11 @@ from corpusloom.llm.words import slices
 class Config:
     capacity: int = 4096
     end_id: int = 1
-    rounds: int = 400  # of multiplicative weights
+    rounds: int = 400  # of multiplicative weights, each time the program is solved
     eta: float = 0.5
-    groups: int = 64  # of neighbouring lengths, for the linear program
-    rounded: float = 0.7  # of each pattern's copies, the share that is taken; the rest fills gaps
+    phases: int = 14  # times that the program is solved, at most
+    priced: int = 128  # lengths that a knapsack chooses from, those with the highest price a token
+    bucket_rows: int = 500_000  # pieces that are numbered in one task, about
 
 
 # ---- token ids
@@ -141,113 +143,100 @@ def pieces(documents: DataFrame, tokenizer_path: str, config: Config = Config(),
 # ---- the plan, on counts
 
 
-def best_pattern(lengths: np.ndarray, price: np.ndarray, demand: np.ndarray, capacity: int) -> dict[int, int]:
-    """How often each length index is used in the worthiest filling: unbounded knapsack by dynamic programming.
+Pattern = tuple[tuple[int, int], ...]  # (length index, times), ascending
 
-    Lengths that are never worth their room (dominated in price by a shorter
-    one) are left out first; a length is used as often as it is demanded at most.
+
+def best_pattern(lengths: np.ndarray, price: np.ndarray, demand: np.ndarray, capacity: int, priced: int) -> Pattern:
+    """How often each length index is used in the worthiest filling: knapsack by dynamic programming.
+
+    Only the `priced` lengths with the highest price a token are tried; the prices of what is covered fall, so that
+    each has its turn. A length is used as often as it is demanded at most.
     """
-    keep, top = [], 0.0
-    for i in range(len(lengths)):
-        if price[i] > top:
-            keep.append(i)
-            top = price[i]
+    tried = np.flatnonzero(demand > 0)
+    if len(tried) > priced:
+        tried = tried[np.argpartition(-price[tried] / lengths[tried], priced)[:priced]]
     best = np.zeros(capacity + 1)
-    chosen: list[tuple[int, int, np.ndarray]] = []  # length index, copies, where it was taken
-    for i in keep:
+    steps: list[tuple[int, int, int, np.ndarray]] = []  # length index, copies, their room, where they were taken
+    for i in tried[np.argsort(-lengths[tried], kind="stable")].tolist():
         left, size = int(min(demand[i], capacity // lengths[i])), 1
         while left > 0:
             k = min(size, left)
-            room, worth = int(k * lengths[i]), k * price[i]
-            better = best[:-room] + worth > best[room:] + 1e-15 if room <= capacity else None
-            if better is None:
-                break
-            taken = np.zeros(capacity + 1, bool)
-            taken[room:] = better
-            best = np.where(taken, np.concatenate([np.zeros(room), best[:-room] + worth]), best)
-            chosen.append((i, k, np.packbits(taken)))
+            room = k * int(lengths[i])
+            worth = best[:-room] + k * price[i]
+            better = worth > best[room:] + 1e-13
+            if better.any():
+                np.copyto(best[room:], worth, where=better)
+                steps.append((i, k, room, better))
             left, size = left - k, size * 2
     pattern: dict[int, int] = {}
     at = capacity
-    for i, k, bits in reversed(chosen):
-        if (bits[at >> 3] >> (7 - (at & 7))) & 1:
+    for i, k, room, better in reversed(steps):
+        if at >= room and better[at - room]:
             pattern[i] = pattern.get(i, 0) + k
-            at -= int(k * lengths[i])
-    return pattern
+            at -= room
+    return tuple(sorted(pattern.items()))
 
 
-def configuration_weights(lengths: np.ndarray, demand: np.ndarray, config: Config) -> list[tuple[dict[int, int], float]]:
-    """Patterns of lengths (by index) with fractional copies: the configuration program, by multiplicative weights.
+def configuration_weights(lengths: np.ndarray, demand: np.ndarray, config: Config) -> list[tuple[Pattern, float]]:
+    """Patterns with fractional copies: the configuration program, by multiplicative weights; the most copies first.
 
     Each round a knapsack finds the pattern worth most at the current prices; it
     is taken as often as eta times its scarcest length allows, and the prices of
-    what it covers fall by their share of the demand. At the end all copies are
-    scaled so that no length is covered more than once over.
+    what it covers fall by their share of the demand. At the end a pattern's copies are
+    scaled so that none of its lengths is covered more than once over.
     """
-    covered, weight = np.zeros(len(lengths)), {}
-    log_price = np.log(lengths / config.capacity)
+    covered, log_price = np.zeros(len(lengths)), np.zeros(len(lengths))
+    weight: dict[Pattern, float] = {}
     for _ in range(config.rounds):
-        pattern = best_pattern(lengths, np.exp(log_price - log_price.max()), demand, config.capacity)
-        if not pattern:
-            break
-        i, n = np.array(list(pattern)), np.array(list(pattern.values()))
+        pattern = best_pattern(lengths, lengths / config.capacity * np.exp(log_price - log_price.max()), demand, config.capacity, config.priced)
+        i, n = np.array(pattern).T
         step = float((demand[i] / n).min()) * config.eta
-        key = tuple(sorted(pattern.items()))
-        weight[key] = weight.get(key, 0.0) + step
+        weight[pattern] = weight.get(pattern, 0.0) + step
         covered[i] += step * n
         log_price[i] -= config.eta * step * n / demand[i]
     over = covered / demand
-    return [(dict(key), w / max(over[i] for i, _ in key)) for key, w in weight.items()]
+    return sorted(((p, w / max(over[i] for i, _ in p)) for p, w in weight.items()), key=lambda x: (-x[1], x[0]))
+
 
+Packed = list[tuple[int, list[tuple[int, int]]]]
 
-def grouped(lengths: np.ndarray, demand: np.ndarray, groups: int) -> np.ndarray:
-    """The group of each length: runs of neighbouring lengths with about equal numbers of tokens."""
-    mass = np.cumsum(lengths * demand)
-    return np.unique(np.minimum((mass / mass[-1] * groups).astype(np.int64), groups - 1), return_inverse=True)[1]
 
+def sequences(packed: Packed) -> int:
+    return sum(copies for copies, _ in packed)
 
-Packed = list[tuple[int, list[tuple[int, int]]]]
+
+def by_program(lengths: np.ndarray, left: np.ndarray, config: Config) -> tuple[Packed, np.ndarray]:
+    """Sequences that patterns of the program fill to the last token, and what is left of each length."""
+    out, left = [], left.copy()
+    for _ in range(config.phases):
+        own = np.flatnonzero(left > 0)
+        if not len(own):
+            break
+        solved = [(p, w) for p, w in configuration_weights(lengths[own], left[own].astype(float), config) if sum(int(lengths[own[i]]) * n for i, n in p) == config.capacity]
+        took = 0
+        for up in (False, True):  # whole copies first, then one more of what still fits
+            for pattern, weight in solved:
+                copies = min(1 if up else int(weight), *(int(left[own[i]]) // n for i, n in pattern))
+                if copies > 0:
+                    out.append((copies, [(int(lengths[own[i]]), n) for i, n in reversed(pattern)]))
+                    took += copies
+                    for i, n in pattern:
+                        left[own[i]] -= copies * n
+        if not took:
+            break
+    return out, left
 
 
 def plan(histogram: dict[int, int], config: Config = Config()) -> Packed:
     """(copies, [(length, times)]) that hold each length exactly as often as the histogram says."""
     lengths = np.array(sorted(histogram), np.int64)
-    left = np.array([histogram[int(x)] for x in lengths], np.int64)
+    count = np.array([histogram[int(x)] for x in lengths], np.int64)
     if not len(lengths):
         return []
-    # The program runs on groups of lengths, each counted as its longest, so that its patterns are few and often used.
-    group = grouped(lengths, left, config.groups)
-    longest = np.array([lengths[group == g].max() for g in range(group.max() + 1)])
-    demand = np.array([left[group == g].sum() for g in range(group.max() + 1)], float)
-    stock = [[int(i) for i in np.flatnonzero(group == g)] for g in range(len(longest))]  # the longest is taken first
-    out: Packed = []
-    for pattern, weight in sorted(configuration_weights(longest, demand, config), key=lambda x: (-x[1], sorted(x[0].items()))):
-        copies = int(weight * config.rounded)
-        # Groups count as their longest, so a pattern filled as it is would waste a little of every sequence. Its shortest
-        # group stays out, and best fit chooses what fills the room exactly.
-        shortest = min(pattern)
-        pattern = {g: n for g, n in pattern.items() if g != shortest}
-        while copies > 0 and pattern:
-            held: dict[int, int] = {}
-            for g, n in pattern.items():
-                for i in reversed(stock[g]):
-                    take = min(n, int(left[i]))
-                    if take:
-                        held[i], n = take, n - take
-                    if not n:
-                        break
-                if n:
-                    copies = 0  # a group is used up; best fit packs the rest
-            if copies:
-                run = min(copies, *(int(left[i]) // n for i, n in held.items()))
-                out.append((run, [(int(lengths[i]), n) for i, n in sorted(held.items(), reverse=True)]))
-                for i, n in held.items():
-                    left[i] -= run * n
-                for g in pattern:
-                    while stock[g] and not left[stock[g][-1]]:
-                        stock[g].pop()
-                copies -= run
-    return best_fit(lengths, left, config.capacity, out)
+    filled, left = by_program(lengths, count, config)
+    packed = best_fit(lengths, left, config.capacity, filled)
+    plain = best_fit(lengths, count, config.capacity)
+    return packed if sequences(packed) <= sequences(plain) else plain
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int, begun: Packed = ()) -> Packed:
@@ -295,7 +284,7 @@ def place(rows: DataFrame, config: Config = Config()) -> DataFrame:
     spark = rows.sparkSession
     rows = written(rows, "packing-pieces")
     # A length may hold most pieces, so it is numbered in many buckets at once, each after the ones before it.
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // config.bucket_rows)
     dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     counts = written(dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "packing-counts")
     histogram = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
