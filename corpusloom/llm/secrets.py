@@ -8,8 +8,8 @@ the fixed patterns find in the documents (1), and ordinary tokens beside them
 (0). Transition counts over all samples are summed by Spark; the model is a
 matrix of fixed size.
 
-A markov span is a run of SYMBOLS of least_length or more that overlaps no span
-of a fixed pattern and is a likelier random string. Spans count
+A markov span is a run of SYMBOLS of least_length or more, of what the fixed
+patterns' spans leave of a text, that is a likelier random string. Spans count
 code points, end exclusive. Null texts count as empty; empty texts have no
 spans; equal texts have equal spans; other columns of the input play no part.
 Without samples of both labels there are no markov spans.
@@ -47,7 +47,7 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
 
 @dataclass(frozen=True)
 class Config:
-    least_length: int = 20
+    least_length: int = 12
     ratio: float = 0.25  # nats a character
     smoothing: float = 0.5  # added to each transition's count
     least_ordinary: int = 4  # characters of a label-0 sample
@@ -78,21 +78,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-LONG_TOKENS = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-
-
 def markov_spans(text: str, base: list[tuple[int, int, str]], ratio: np.ndarray | None, config: Config) -> list[tuple[int, int, str]]:
     if ratio is None:
         return []
-    pattern = LONG_TOKENS if config.least_length == 20 else re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % config.least_length)
-    found = []
-    for m in pattern.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for x, y, _ in base):
-            continue
-        if ratio[transitions(m[0])].sum() > config.ratio * (b - a):
-            found.append((a, b, "markov"))
-    return found
+    pattern = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % config.least_length)
+    found = [m.span() for part in outside(text, base) for m in pattern.finditer(text, *part)]
+    if not found:
+        return []
+    # All tokens in one row of states, each between two states that stand for begin and end.
+    row = _STATE[np.frombuffer("\n".join(["", *(text[a:b] for a, b in found), ""]).encode("ascii"), np.uint8)]
+    size = np.array([b - a for a, b in found])
+    total = np.add.reduceat(ratio[row[:-1] * STATES + row[1:]], np.cumsum(size + 1) - size - 1)
+    return [(a, b, "markov") for (a, b), x, n in zip(found, total, size, strict=True) if x > config.ratio * n]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:

@@ -36,3 +36,20 @@ def test_random_strings_without_digits(spark: SparkSession) -> None:
         text = f"there {value(string.ascii_letters, 24)} things"
         assert secrets.markov_spans(text, [], ratio, secrets.Config()) == [(6, 30, "markov")]
     assert secrets.markov_spans(ordinary, [], ratio, secrets.Config()) == []
+
+
+def test_short_and_neighbouring_tokens(spark: SparkSession) -> None:
+    """Random strings of 12 characters and more are found, also where a token goes on beyond a fixed pattern's span."""
+    rng = random.Random(4)
+    letters = string.ascii_letters + string.digits
+    words = ["internationale", "verantwortlich", "configuration", "straightforward", "responsabilidad", "acknowledgement", "understanding"]
+    texts = [" ".join([*rng.sample(words, 5), f"token = \"{''.join(rng.choice(letters) for _ in range(24))}\""]) for _ in range(400)]
+    ratio = secrets.train(secrets.samples(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA)))
+    got = lambda t: secrets.markov_spans(t, secrets.base_spans(t), ratio, secrets.Config())
+    assert got("see Zq7Xw2Rk9vB4 here") == [(4, 16, "markov")]
+    assert got("see Zq7Xw2Rk9vB here") == []
+    text = "id Zq7Xw2Rk9vB4Tz8~0123456789abcdef0123 end"
+    assert secrets.base_spans(text) == [(19, 39, "hex")] and got(text) == [(3, 18, "markov")]
+    joined_on = "0123456789abcdef0123/Zq7Xw2Rk9vB4Tz8"
+    assert secrets.base_spans(joined_on) == [(0, 20, "hex")] and got(joined_on) == [(20, 36, "markov")]
+    assert got(" ".join(words)) == [] and got("") == []
