@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.serving import ALLOWED_LICENSES, clean_provenance, forbidden_domain, vetoed
+from corpusloom.operators import edits
 
 # Most verses that an edition's chapter may have more or less, and larger differences of known editions.
 TOLERANCE, MOST_VARIANTS = 1, 25
@@ -199,15 +200,15 @@ def skeleton(word: Column) -> Column:
 def recognised(entries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """entries (key) with lemma and distance: the vocabulary's word (lemma, form) nearest by skeleton, within what the length allows; nulls where none is.
 
-    Skeletons meet by length, so a word is compared with words of about its own length only.
+    Skeletons meet through their neighbourhoods of deletions (operators.edits).
     """
     own = entries.withColumn("_s", skeleton(F.col("key"))).withColumn("_n", F.length("_s"))
     # Edits allowed for skeletons of up to 3, up to 6 and more characters.
     budget = F.when(F.col("_n") <= 3, 0).when(F.col("_n") <= 6, 1).otherwise(2)
     own = own.withColumn("_most", budget)
     words = vocabulary.withColumn("_v", skeleton(F.col("form"))).where(F.length("_v") > 0).select("lemma", "_v", F.length("_v").alias("_m")).distinct()
-    asked = own.where("_n >= 3").select("_s", "_n", "_most").distinct().withColumn("_m", F.explode(F.sequence(F.col("_n") - F.col("_most"), F.col("_n") + F.col("_most"))))
-    near = asked.join(words, "_m").withColumn("distance", F.levenshtein("_s", "_v")).where(F.col("distance") <= F.col("_most"))
+    pairs = edits.near(own.where("_n >= 3"), words, "_s", "_v", "_most")
+    near = pairs.join(words, "_v")
     best = near.groupBy("_s").agg(F.min(F.struct("distance", "_m", "lemma")).alias("best")).select("_s", F.col("best.lemma").alias("lemma"), F.col("best.distance").alias("distance"))
     return own.join(best, "_s", "left").drop("_s", "_n", "_most")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -68,9 +70,55 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 10
     return best_of(found, ["qid"], [F.desc(F.round("score", 12)), F.asc("vec_id")], k)
 
 
-def centroids(vectors: DataFrame, group: str) -> DataFrame:
-    """(group, dim, mean): the mean vector of each group, one row a dimension, combined before the shuffle."""
-    return vectors.select(group, F.posexplode("embedding").alias("dim", "x")).groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+def centroids(vectors: DataFrame, group: str, spread: int = 64) -> DataFrame:
+    """(group, dim, mean): the mean vector of each group, one row a dimension; null vectors and those of another length than the group's most frequent (of equals the shorter) have no part.
+
+    Vectors are summed where they are, as arrays: a task makes one row for each group and length, and the rows of a group are added up in two steps.
+    """
+    kind = vectors.schema[group].dataType.simpleString()
+    schema = f"`{group}` {kind}, part int, size int, n long, total array<double>"
+    names = [group, "part", "size", "n", "total"]
+
+    def summed(keys: pa.Array, sizes: np.ndarray, counts: np.ndarray, lists: pa.Array, part: int) -> list[pa.RecordBatch]:
+        coded = keys.dictionary_encode(null_encoding="encode")
+        which = coded.indices.to_numpy()
+        out = []
+        for size in np.unique(sizes):
+            own = np.flatnonzero(sizes == size)
+            x = pc.list_flatten(lists.take(pa.array(own))).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(own), size)
+            at, of = np.unique(which[own], return_inverse=True)
+            total = np.zeros((len(at), size))
+            np.add.at(total, of, x)
+            n = np.bincount(of, counts[own], len(at)).astype(np.int64)
+            out.append(pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(at)), pa.array(np.full(len(at), part, np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(n), pa.array(list(total), pa.list_(pa.float64()))], names))
+        return out
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.and_(pc.is_valid(batch.column("embedding")), pc.greater(pc.fill_null(pc.list_value_length(batch.column("embedding")), 0), 0)))
+            if len(batch):
+                sizes = pc.list_value_length(batch.column("embedding")).to_numpy()
+                part = int(batch.column("part")[0].as_py()) % spread
+                yield from summed(batch.column(group), sizes, np.ones(len(batch)), batch.column("embedding"), part)
+
+    def again(last: bool) -> Callable[[pa.Table], pa.Table]:
+        def add(rows: pa.Table) -> pa.Table:
+            rows = rows.combine_chunks()
+            column = lambda c: rows[c].combine_chunks()
+            parts = summed(column(group), column("size").to_numpy(), column("n").to_numpy(), column("total"), int(rows["part"][0].as_py()))
+            whole = pa.Table.from_batches(parts)
+            if not last:
+                return whole
+            sizes, n = whole["size"].to_pylist(), whole["n"].to_pylist()
+            best = min(range(len(n)), key=lambda i: (-n[i], sizes[i]))
+            mean = np.array(whole["total"][best].as_py()) / n[best]
+            return pa.Table.from_arrays([pa.concat_arrays([whole[group].combine_chunks().take(pa.array([best] * len(mean)))]), pa.array(np.arange(len(mean), dtype=np.int32)), pa.array(mean)], [group, "dim", "mean"])
+
+        return add
+
+    first = vectors.select(group, "embedding", F.spark_partition_id().alias("part")).mapInArrow(within, schema)
+    second = first.groupBy(group, "part").applyInArrow(again(False), schema)
+    return second.groupBy(group).applyInArrow(again(True), f"`{group}` {kind}, dim int, mean double")
 
 
 def matches(docs: DataFrame, words: list[str], phrase: list[str] = (), without: list[str] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import fnv1a32, ocr_tokens, shingles, stem_english, tokens
-from corpusloom.operators import matching
+from corpusloom.operators import edits, editions, matching
 from corpusloom.queries.registry import query
 from corpusloom.session import table
 
@@ -108,18 +108,47 @@ def match_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.groupBy("k").agg(F.count_if(over & gold_).alias("true_positives"), F.count_if(over & ~gold_).alias("false_positives"), F.count_if(~over & gold_).alias("misses"))
 
 
-@query(f"""
-with s as (select lang, shingle, doc_id from {_shingles("documents", "doc_id, lang", 6)}),
-e as (select lang, item_id, count(distinct shingle) as n from s join {_shingles("benchmark", "item_id", 6)} using (shingle) group by 1, 2)
-select a.lang as lang, b.lang as other, count(*) as n_items, round(avg(least(a.n, b.n) / greatest(a.n, b.n)), 6) as likeness from e a join e b on a.item_id = b.item_id and a.lang < b.lang group by 1, 2""")
+_COVERED = f"""e as (select distinct lang, item_id, shingle from {_shingles("documents", "doc_id, lang", 6)} join {_shingles("benchmark", "item_id", 6)} using (shingle)),
+n as (select lang, item_id, count(*) as n from e group by 1, 2),
+c as (select a.lang as lang, b.lang as other, a.item_id as item_id, count(*) as common from e a join e b on a.item_id = b.item_id and a.shingle = b.shingle and a.lang < b.lang group by 1, 2, 3),
+l as (select x.lang as edition, y.lang as other, count(*) as n_passages, avg(coalesce(common, 0) / (x.n + y.n - coalesce(common, 0))) as likeness
+  from n x join n y on x.item_id = y.item_id and x.lang < y.lang left join c on c.lang = x.lang and c.other = y.lang and c.item_id = x.item_id group by 1, 2)"""
+
+
+def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each language's documents hold of each passage: its shingles, as if they were an edition of the passages."""
+    own = table(spark, sf_dir, "documents").select("lang", F.explode(shingles(ocr_tokens(F.col("text")), 6)).alias("shingle"))
+    of = matching.shingle_rows(table(spark, sf_dir, "benchmark"), "item_id", 6)
+    return own.join(of, "shingle").select(F.col("lang").alias("edition"), F.col("item_id").alias("passage"), "shingle").distinct()
+
+
+@query(f"with {_COVERED} select edition, other, n_passages, round(likeness, 6) as likeness from l")
 def edition_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How alike two groups of documents cover the same passages."""
-    docs = table(spark, sf_dir, "documents")
-    own = docs.select("lang", F.explode(shingles(ocr_tokens(F.col("text")), 6)).alias("shingle"))
-    covered = own.join(matching.shingle_rows(table(spark, sf_dir, "benchmark"), "item_id", 6), "shingle").groupBy("lang", "item_id").agg(F.count_distinct("shingle").alias("n"))
-    other = covered.select(F.col("lang").alias("other"), "item_id", F.col("n").alias("m"))
-    pairs = covered.join(other, "item_id").where("lang < other")
-    return pairs.groupBy("lang", "other").agg(F.count("*").alias("n_items"), F.round(F.avg(F.least("n", "m") / F.greatest("n", "m")), 6).alias("likeness"))
+    """How alike editions are in the passages that both have: the mean of common by united shingles, from masks of editions."""
+    return editions.likeness(_covered(spark, sf_dir)).withColumn("likeness", F.round("likeness", 6))
+
+
+@query(f"""with recursive {_COVERED}, u as (select edition as a, other as b from l where likeness >= 0.02 union all select other, edition from l where likeness >= 0.02),
+r(node, seen) as (select distinct lang, lang from e union select r.node, u.b from r join u on u.a = r.seen), f as (select node, min(seen) as family from r group by 1),
+d as (select distinct family, shingle from e join f on e.lang = f.node), s as (select family, node, count(distinct shingle) as n from e join f on e.lang = f.node group by 1, 2)
+select f.node as edition, f.family as family, (select count(*) from d where d.family = f.family) as united, (select max(n) from s where s.family = f.family) as largest,
+round((select count(*) from d where d.family = f.family) / (select max(n) from s where s.family = f.family), 6) as cost from f""")
+def edition_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families of alike editions, and what uniting a family's shingles costs against its richest edition."""
+    return editions.families(_covered(spark, sf_dir), 0.02).withColumn("cost", F.round("cost", 6))
+
+
+@query(r"""with w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents), v as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as known from benchmark),
+p as (select word, known, levenshtein(word, known) as distance from w join v on abs(length(word) - length(known)) <= 2 where levenshtein(word, known) <= case when length(word) <= 3 then 0 when length(word) <= 6 then 1 else 2 end)
+select word, count(*) as n, arg_min(known, (distance, length(known), known)) as nearest, min(distance) as distance from p group by 1""")
+def word_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with the nearest known word within the edits that its length allows."""
+    words = lambda name, to: table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias(to)).distinct()
+    n = F.length("word")
+    own = words("documents", "word").withColumn("edits", F.when(n <= 3, 0).when(n <= 6, 1).otherwise(2))
+    found = edits.near(own, words("benchmark", "known"), "word", "known", "edits")
+    best = F.min(F.struct("distance", F.length("known").alias("n"), "known"))
+    return found.groupBy("word").agg(F.count("*").alias("n"), best.alias("b")).select("word", "n", F.col("b.known").alias("nearest"), F.col("b.distance").alias("distance"))
 
 
 @query(r"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators import digests
 from corpusloom.operators.relational import best_of, capped_count, compared, insert_new, islands, keyset_page, page, replace_by_key, upsert
 from corpusloom.queries.registry import query
 from corpusloom.session import table
@@ -182,6 +183,22 @@ def ordered_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("o_custkey").agg(listed("part", "d").alias("digest"))
 
 
+_LINE = "o_orderkey::varchar || ':' || o_custkey::varchar || ':' || o_orderstatus"
+_LANE = lambda i: f"lpad(lower(to_hex((sum(('0x' || h[{1 + 16 * i}:{16 + 16 * i}])::ubigint::hugeint) % 18446744073709551616)::ubigint)), 16, '0')"
+
+
+@query(f"""with r as (select o_orderpriority, sha256('1' || {_LINE}) as h from orders where o_orderkey % 10 <> 1)
+select o_orderpriority, count(*) as n, {' || '.join(map(_LANE, range(4)))} as digest, true as same from r group by 1""")
+def change_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored digest of the old rows, kept up to date by those inserted and deleted alone, and whether it is what all rows give."""
+    o = table(spark, sf_dir, "orders")
+    of = lambda rows: digests.of_rows(rows, F.concat_ws(":", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus"), "o_orderpriority")
+    last = F.col("o_orderkey") % 10
+    updated = digests.changed(of(o.where(last != 0)), of(o.where(last == 0)), of(o.where(last == 1)), "o_orderpriority")
+    again = of(o.where(last != 1)).select("o_orderpriority", digests.text(*map(F.col, digests.LANES)).alias("again"))
+    return updated.join(again, "o_orderpriority", "full").select("o_orderpriority", "n", digests.text(*map(F.col, digests.LANES)).alias("digest"), (digests.text(*map(F.col, digests.LANES)) == F.col("again")).alias("same"))
+
+
 @query("select n_regionkey, string_agg(n_name, ', ' order by n_name) as names from nation group by 1")
 def names_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ", ").alias("names"))
