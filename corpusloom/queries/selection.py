@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import contains_literal
+from corpusloom.operators import postings as P
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import selection as S
+from corpusloom.operators import table_functions
 from corpusloom.operators import vector_index as V
 from corpusloom.operators.fixpoint import shared_dir
 from corpusloom.operators.relational import best_of
+from corpusloom.queries.fulltext import documents_index
 from corpusloom.queries.registry import query
 from corpusloom.queries.retrieval import _RANKED, _S, _query, _ranked
 from corpusloom.session import table
@@ -181,6 +184,37 @@ def knn_all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.nearest_each(e, e.where("vec_id % 100 = 0"), 10).select("qid", "vec_id", F.round("score", 6).alias("score"))
 
 
+_ASKED = ("the", "license", "and")
+_HYBRID_SQL = """
+select qid, id, rank, round(text_score, 6) as text_score, round(vector_score, 6) as vector_score, round(score, 6) as score from hybrid_search(
+  table(select qid, id, 'text' as list, score from asked join word_hits using (word) where qid < 400 and score > 0.5
+        union all select qid, vec_id, 'vector', score from near where qid < 400)
+  partition by qid, k => 10, text_weight => 0.4, vector_weight => 0.6)
+"""
+
+
+@query("""with q as (select vec_id as qid, embedding as qe, ['the', 'license', 'and'][(vec_id // 100 % 3 + 1)::int] as word from embeddings where vec_id % 100 = 0),
+v as (select qid, vec_id as id, list_cosine_similarity(embedding::double[], qe::double[]) as score from embeddings, q where vec_id <> qid qualify row_number() over (partition by qid order by score desc, vec_id) <= 30),
+w as (select doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') as words from documents),
+f as (select word, doc_id as id, len(list_filter(words, lambda t: t = word)) as tf from w, (values ('the'), ('license'), ('and')) x(word)),
+h as (select word, id, tf / (tf + 1) as score from f where tf > 0 qualify row_number() over (partition by word order by tf / (tf + 1) desc, id) <= 50),
+t as (select qid, id, score from q join h using (word) where score > 0.5), b as (select coalesce(t.qid, v.qid) as qid, coalesce(t.id, v.id) as id, t.score as text_score, v.score as vector_score from t full join v on t.qid = v.qid and t.id = v.id),
+r as (select *, 0.4 * coalesce(text_score, 0) + 0.6 * coalesce(vector_score, 0) as score from b where qid < 400)
+select qid, id, row_number() over (partition by qid order by round(score, 12) desc, id)::int as rank, round(text_score, 6) as text_score, round(vector_score, 6) as vector_score, round(score, 6) as score from r qualify rank <= 10""")
+def hybrid_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search as a table function of SQL: candidates of each question from both lists, filtered before it and fused in it."""
+    table_functions.register(spark)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = e.where("vec_id % 100 = 0")
+    R.nearest_each(e, q, 30).createOrReplaceTempView("near")
+    word = F.element_at(F.array(*map(F.lit, _ASKED)), (F.floor(F.col("vec_id") / 100) % 3 + 1).cast("int"))
+    q.select(F.col("vec_id").alias("qid"), word.alias("word")).createOrReplaceTempView("asked")
+    found = P.search(documents_index(spark, sf_dir), spark, " OR ".join(_ASKED))
+    each = found.rows.select("doc_id", F.inline(F.array(*[F.struct(F.lit(w).alias("word"), P.frequency_rank(found, [w]).alias("score")) for w in _ASKED]))).where("score > 0")
+    best_of(each.select("word", F.col("doc_id").alias("id"), "score"), ["word"], [F.desc("score"), F.asc("id")], 50).createOrReplaceTempView("word_hits")
+    return spark.sql(_HYBRID_SQL)
+
+
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, V.Index]:
     """All vectors, and an index of them in the shared folder."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
