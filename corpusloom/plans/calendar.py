@@ -26,6 +26,16 @@ def dealt(spark: SparkSession, items: int, days: int) -> DataFrame:
     return spark.range(days).select(d.cast("int").alias("day"), cut(d).alias("first"), (cut(d + 1) - 1).alias("last"))
 
 
+def expanded(plans: DataFrame, key: str, start: str, items: str, most_days: int, week_days: list[int]) -> DataFrame:
+    """(key, day, first, last, date) of every plan: its items dealt over as many reading days as it has items, most_days at most; a plan without items or start has none."""
+    days = sorted(set(week_days))
+    n, k, d = F.col(items), F.least(F.col(items), F.lit(most_days)), F.col("day")
+    rows = plans.where((n > 0) & F.col(start).isNotNull()).select(key, start, items, k.alias("_days"), F.explode(F.sequence(F.lit(0), k.cast("int") - 1)).alias("day"))
+    cut = lambda i: F.floor(i * F.col(items) / F.col("_days")).cast("int")
+    offset = (d / len(days)).cast("int") * 7 + F.element_at(F.array(*map(F.lit, days)), d % len(days) + 1)
+    return rows.select(key, "day", cut(d).alias("first"), (cut(d + 1) - 1).alias("last"), F.date_add(F.to_date(start), offset).alias("date"))
+
+
 def spec_fault(weeks: Column, per_week: Column, start_date: Column, book: Column) -> Column:
     """What is wrong with a plan's settings, the first fault there is: weeks, days, date or book; null if nothing is."""
     # The most weeks, and the form of a date.

@@ -10,11 +10,13 @@ from corpusloom.queries.registry import query
 from corpusloom.session import table
 
 
-@query("""select d::int as day, floor(d * 150 / 24.0)::int as first, (floor((d + 1) * 150 / 24.0) - 1)::int as last,
-strftime(date '2024-02-05' + ((d // 3) * 7 + [0, 2, 4][d % 3 + 1])::int, '%Y-%m-%d') as date from generate_series(0, 23) t(d)""")
+@query("""with p as (select o_custkey, min(o_orderdate)::date as start, count(*) as n from orders group by 1),
+d as (select *, least(n, 24) as days, unnest(range(0, least(n, 24))) as d from p)
+select o_custkey, d::int as day, floor(d * n / days)::int as first, (floor((d + 1) * n / days) - 1)::int as last, strftime(start + ((d // 3) * 7 + [0, 2, 4][(d % 3 + 1)::int])::int, '%Y-%m-%d') as date from d""")
 def plan_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = calendar.reading_days(spark, "2024-02-05", 8, [0, 2, 4])
-    return calendar.dealt(spark, 150, 24).join(days, "day").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    """Each customer's orders as a plan that begins with the first of them: three days a week, 24 days at most."""
+    plans = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("start"), F.count("*").alias("n"))
+    return calendar.expanded(plans, "o_custkey", "start", "n", 24, [0, 2, 4]).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 @query("""with u as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i, greatest(count(*) over (partition by o_custkey), 2) as n from orders)

@@ -206,11 +206,14 @@ def likeness_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixpoint.components(_edges(spark, sf_dir))
 
 
-@query("""with recursive k(a, b) as (values ('lineitem', 'orders'), ('lineitem', 'part'), ('lineitem', 'supplier'), ('orders', 'customer'), ('customer', 'nation'), ('supplier', 'nation'), ('nation', 'region')),
+@query("""with recursive t as (select c_nationkey as a, s_nationkey as b, count(*) as n from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey group by 1, 2),
+k as (select a, b from t qualify row_number() over (partition by a order by n desc, b) = 1),
 r(start, node) as (select a, a from k union select b, b from k union select r.start, k.b from r join k on k.a = r.node) select start, node from r""")
 def tables_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables reachable along foreign keys, to the fixed point."""
-    links = spark.createDataFrame([("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier"), ("orders", "customer"), ("customer", "nation"), ("supplier", "nation"), ("nation", "region")], "a string, b string")
+    """What is reachable along references, to the fixed point: from each nation to the one that most of its customers' parts come from, and on."""
+    parts = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    trade = parts.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).agg(F.count("*").alias("n"))
+    links = best_of(trade, ["a"], [F.desc("n"), F.asc("b")]).select("a", "b")
     return fixpoint.reachable(links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))), links)
 
 
