@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import ocr_tokens, shingles, stem_english
+from corpusloom.operators.stored import stored
 
 
 def shingle_rows(texts: DataFrame, key: str, n: int, text: str = "text", tokens: Column | None = None) -> DataFrame:
@@ -13,15 +14,28 @@ def shingle_rows(texts: DataFrame, key: str, n: int, text: str = "text", tokens:
     return texts.select(key, F.explode(shingles(ocr_tokens(F.col(text)) if tokens is None else tokens, n)).alias("shingle"))
 
 
-def uncited_matches(docs: DataFrame, passages: DataFrame, doc_key: str, passage_key: str, n: int = 6, least_hits: int = 3, least_shingles: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_key, passage_key, hits[, carry]): passages that share at least least_hits shingles with a document.
+def passage_index(passages: DataFrame, key: str, n: int = 6, least_shingles: int = 3) -> DataFrame:
+    """(key, shingle, h): the shingles of passages that have at least least_shingles of them, and a 64-bit hash to meet by."""
+    index = passages.select(key, shingles(ocr_tokens(F.col("text")), n).alias("s")).where(F.size("s") >= least_shingles)
+    return index.select(key, F.explode("s").alias("shingle")).withColumn("h", F.xxhash64("shingle"))
+
+
+def stored_passages(passages: DataFrame, key: str, n: int = 6, least_shingles: int = 3) -> DataFrame:
+    """passage_index() of passages read from files, written once in the order of h and read from there by all that match against them."""
+
+    def make(path: str) -> None:
+        passage_index(passages, key, n, least_shingles).repartitionByRange("h").sortWithinPartitions("h").write.mode("overwrite").parquet(f"{path}/shingles")
+
+    return passages.sparkSession.read.parquet(f"{stored(passages, (key, n, least_shingles), make, 'passages')}/shingles")
+
+
+def uncited_matches(docs: DataFrame, index: DataFrame, doc_key: str, passage_key: str, n: int = 6, least_hits: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_key, passage_key, hits[, carry]): passages of an index that share at least least_hits shingles with a document.
 
     The passages' shingles are the smaller side; Spark broadcasts them as long as
     their size allows, and shuffles by shingle beyond that. Shingles meet by a 64-bit hash and by
     themselves after it. Counts are summed before the shuffle by (document, passage).
     """
-    index = passages.select(passage_key, shingles(ocr_tokens(F.col("text")), n).alias("s")).where(F.size("s") >= least_shingles)
-    index = index.select(passage_key, F.explode("s").alias("shingle")).withColumn("h", F.xxhash64("shingle"))
     own = docs.select(doc_key, *carry, F.explode(shingles(ocr_tokens(F.col("text")), n)).alias("shingle")).withColumn("h", F.xxhash64("shingle"))
     hits = own.join(index, ["h", "shingle"]).groupBy(doc_key, passage_key, *carry).agg(F.count("*").alias("hits"))
     return hits.where(F.col("hits") >= least_hits)

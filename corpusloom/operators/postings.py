@@ -16,7 +16,6 @@ asks for none finds them.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.english import STOP_WORDS, stem
 from corpusloom.functions.text import tokens
 from corpusloom.operators import fulltext
-from corpusloom.operators.fixpoint import shared_dir
+from corpusloom.operators import stored as tables
 from corpusloom.operators.fulltext import Node
 
 BUCKETS = 64
@@ -109,23 +108,8 @@ def build(texts: DataFrame, path: str, keys: tuple[str, ...], text: Column, colu
 
 
 def stored(texts: DataFrame, keys: tuple[str, ...], text: Column, columns: tuple[str, ...] = (), config: str = "simple") -> TextIndex:
-    """The index of texts read from files, in the session's shared folder; made when there is none of these very files (path, length, time), text and columns yet."""
-    spark = texts.sparkSession
-    fs_path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-
-    def stamp(name: str) -> str:
-        path = fs_path(name)
-        s = path.getFileSystem(conf).getFileStatus(path)
-        return f"{name} {s.getLen()} {s.getModificationTime()}"
-
-    said = "\n".join([*map(stamp, sorted(texts.inputFiles())), repr((keys, text, columns, config))])
-    path = f"{shared_dir(spark)}/texts-{hashlib.sha256(said.encode()).hexdigest()[:32]}"
-    done = fs_path(f"{path}/done")
-    fs = done.getFileSystem(conf)
-    if not fs.exists(done):
-        build(texts, path, keys, text, columns, config)
-        fs.create(done).close()
-    return TextIndex(path, keys, config)
+    """The index of texts read from files, kept in the session's shared folder and made when there is none of these very files, text and columns yet."""
+    return TextIndex(tables.stored(texts, (keys, text, columns, config), lambda path: build(texts, path, keys, text, columns, config), "texts"), keys, config)
 
 
 # ---- answers

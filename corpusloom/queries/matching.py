@@ -30,9 +30,13 @@ hits as (select doc_id, item_id, count(*) as hits from d join b using (shingle)
 """
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.stored_passages(table(spark, sf_dir, "benchmark"), "item_id")
+
+
 @query(_HITS + "select doc_id, item_id, hits, source from hits join (select doc_id, source from documents) using (doc_id)")
 def uncited_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = matching.uncited_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", carry=("source",))
+    hits = matching.uncited_matches(table(spark, sf_dir, "documents"), _passages(spark, sf_dir), "doc_id", "item_id", carry=("source",))
     return hits.select("doc_id", "item_id", "hits", "source")
 
 
@@ -42,7 +46,7 @@ select doc_id, item_id, channel, hits, confidence from (select * from e union al
 qualify row_number() over (partition by doc_id, item_id, channel order by hits desc, confidence desc) = 1""")
 def anchor_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = matching.uncited_matches(docs, table(spark, sf_dir, "benchmark"), "doc_id", "item_id").withColumn("confidence", F.lit(0.5))
+    found = matching.uncited_matches(docs, _passages(spark, sf_dir), "doc_id", "item_id").withColumn("confidence", F.lit(0.5))
     cited = docs.where(F.contains(F.lower("text"), F.lit("licensed under"))).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(1).cast("long").alias("hits"), F.lit(1.0).alias("confidence"))
     return matching.anchors(cited, found, ["doc_id", "item_id"]).select("doc_id", "item_id", "channel", "hits", "confidence")
 
