@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 
@@ -44,7 +45,9 @@ def test_short_and_neighbouring_tokens(spark: SparkSession) -> None:
     letters = string.ascii_letters + string.digits
     words = ["internationale", "verantwortlich", "configuration", "straightforward", "responsabilidad", "acknowledgement", "understanding"]
     texts = [" ".join([*rng.sample(words, 5), f"token = \"{''.join(rng.choice(letters) for _ in range(24))}\""]) for _ in range(400)]
-    ratio = secrets.train(secrets.samples(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA)
+    ratio = secrets.learn(docs)
+    assert np.allclose(ratio, secrets.train(secrets.samples(docs)))
     got = lambda t: secrets.markov_spans(t, secrets.base_spans(t), ratio, secrets.Config())
     assert got("see Zq7Xw2Rk9vB4 here") == [(4, 16, "markov")]
     assert got("see Zq7Xw2Rk9vB here") == []
