@@ -59,8 +59,7 @@ def rows_of(df: DataFrame) -> list[tuple]:
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("longest", [2, 3, 5])
-@pytest.mark.parametrize("sample_mb", [0.0, 0.002, 100.0])
+@pytest.mark.parametrize(("longest", "sample_mb"), [(3, 0.0), (3, 0.002), (3, 100.0), (5, 0.0), (2, 0.002)])
 def test_against_plain_counting(spark: SparkSession, longest: int, sample_mb: float) -> None:
     rows = texts(longest, 150)
     config = Config(least=4, longest=longest, sample_mb=sample_mb, top=300)
