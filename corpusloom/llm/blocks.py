@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import discard, written
-from corpusloom.llm.words import digests, exact_words, slices, trimmed
+from corpusloom.llm.words import digests, exact_words, slices, tidy, trimmed
 
 BLOCK = 3_000_000  # bytes of text
 FAN = 4096  # requests that a block sends, at most
@@ -87,7 +87,7 @@ def stored_blocks(documents: DataFrame, name: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"block": [(part << 32) + n], "payload": [payload]}, pa.schema([("block", pa.int64()), ("payload", pa.binary())]))
             n += 1
 
-    return written(documents.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, "block long, payload binary"), name)
+    return written(documents.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(tidy(run), "block long, payload binary"), name)
 
 
 #: Of a block: the shard of each of its different keys, the keys, their counts, and further arrays about them that are the same in every block.
@@ -187,7 +187,7 @@ def exchanged(blocks: DataFrame, keys: Callable[[dict], Keys], shards: int, answ
         return pa.Table.from_pydict({"shard": [spot] * len(answers), "source": sources, "answer": answers, "sums": [None] * len(answers)}, _ANSWER)
 
     asked, answer_schema = "shard long, source long, request binary", "shard long, source long, answer binary, sums array<long>"
-    requests = blocks.mapInArrow(ask, asked)
+    requests = blocks.mapInArrow(tidy(ask), asked)
     if levels == 2:
         grouped = requests.withColumn("group", F.pmod(F.xxhash64("source"), F.lit(max(1, -(-blocks.count() // span)))))
         merged = written(grouped.groupBy("shard", "group").applyInArrow(merge, asked), f"{name}-merged")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import written
-from corpusloom.llm.words import LOWER, mix, slices, trimmed
+from corpusloom.llm.words import LOWER, mix, slices, tidy, trimmed
 
 BREAKS = np.zeros(256, bool)
 BREAKS[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
@@ -139,7 +139,7 @@ def bloom_of(phrases: DataFrame, rows: int, most_bits: int) -> Bloom:
             yield pa.RecordBatch.from_arrays([pa.array(which.view(np.int64)), pa.array(mask.view(np.int64))], ["at", "mask"])
 
     # At most bits / 64 rows of two integers, which Config.filter_bits bounds.
-    found = phrases.select("lang", "phrase").mapInArrow(run, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    found = phrases.select("lang", "phrase").mapInArrow(tidy(run), "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[found["at"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
     return Bloom(out)
@@ -233,7 +233,7 @@ def counting(config: Config, now: Members | None, before: Members | None) -> Cal
 
 def grams(documents: DataFrame, config: Config, now: Members | None, before: Members | None, least: Column) -> DataFrame:
     """(lang, size, phrase, n) of what counting() yields over all documents, where least holds."""
-    rows = documents.mapInArrow(counting(config, now, before), "lang string, size int, phrase string, n long")
+    rows = documents.mapInArrow(tidy(counting(config, now, before)), "lang string, size int, phrase string, n long")
     return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where(least)
 
 
@@ -269,7 +269,7 @@ def mine(documents: DataFrame, config: Config = Config()) -> Mined:
                     new[own] = ~members.hold(k, phrase_hashes(langs[own], [names[i] for i in own]))
                 yield batch.filter(pa.array(new))
 
-        new = written(phrases.mapInArrow(lacking, "lang string, size int, phrase string, n long"), "phrases-admitted")
+        new = written(phrases.mapInArrow(tidy(lacking), "lang string, size int, phrase string, n long"), "phrases-admitted")
         rows = {r["size"]: r.n for r in new.groupBy("size").agg(F.count("*").alias("n")).collect()}
         for k, n in sorted(rows.items()):
             members = members.with_filter(k, bloom_of(new.where(F.col("size") == k), n, config.filter_bits))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import written
+from corpusloom.llm.words import tidy
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +53,7 @@ def _contracted(links: DataFrame) -> DataFrame:
         a, b = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
         yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
-    return links.mapInArrow(run, "a long, b long")
+    return links.mapInArrow(tidy(run), "a long, b long")
 
 
 def _smallest(links: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.words import chunks
+from corpusloom.llm.words import chunks, tidy
 
 SPAN = 1 << 16  # values of a container
 ARRAY, BITMAP, RUN = "array", "bitmap", "run"
@@ -188,7 +188,7 @@ def transform(documents: DataFrame, config: Config = Config(), digests: bool = F
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     out = "doc_id long, n long, form string, prefix_chars long, middle_chars long, " + ("output_sha256 string, restored_sha256 string" if digests else "output string")
-    return documents.select("doc_id", "text").mapInArrow(run, out)
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), out)
 
 
 #: The same with the default configuration, in DuckDB's SQL; documents is a view.

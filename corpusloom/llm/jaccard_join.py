@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.blocks import FAN, Block, Keys, answers_of, exchanged, shard_of, split_like, stored_blocks
 from corpusloom.llm.components import components
 from corpusloom.llm.shared import discard, input_partitions, written
-from corpusloom.llm.words import mix, trimmed
+from corpusloom.llm.words import mix, tidy, trimmed
 
 @dataclass(frozen=True)
 class Config:
@@ -126,7 +126,7 @@ def sets_of(blocks: DataFrame, config: Config) -> DataFrame:
                 n = np.array([len(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), row["block"])), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(block.doc_id, mask=~block.has_id), pa.array(n), pa.array(signs[:, 0]), pa.array(signs[:, 1])], schema=schema)
 
-    return blocks.mapInArrow(run, "block long, place int, doc_id long, n long, s1 long, s2 long")
+    return blocks.mapInArrow(tidy(run), "block long, place int, doc_id long, n long, s1 long, s2 long")
 
 
 def _rarity(_: int, parts: list[list[np.ndarray]]) -> tuple[list[list[np.ndarray]], list[int], bytes]:
@@ -187,7 +187,7 @@ def joined(documents: DataFrame, config: Config = Config()) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([zero, pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), *[zero] * (len(numbers) - 3), pa.array(hashes, pa.binary())], schema=schema)
 
     with_answers = blocks.join(chosen, "block").join(answers.withColumnRenamed("source", "block"), "block")
-    found = written(with_answers.mapInArrow(prefixes, ", ".join(f"{c} long" for c in numbers) + ", hashes binary"), "jaccard-prefixes")
+    found = written(with_answers.mapInArrow(tidy(prefixes), ", ".join(f"{c} long" for c in numbers) + ", hashes binary"), "jaccard-prefixes")
     discard(blocks)
     entries, whole = found.where("hashes is null").select("key", "rep", "n", "position", "rest", F.struct(SKETCH).alias("sketch")), found.where("hashes is not null").select("rep", "hashes")
     # A shingle in one prefix only leads nowhere.
@@ -270,4 +270,4 @@ def _verified(pairs: DataFrame, whole: DataFrame, config: Config) -> DataFrame:
 
     left = pairs.join(whole.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a")
     both = left.join(whole.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long, linked boolean")

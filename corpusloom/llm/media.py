@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.words import chunks
+from corpusloom.llm.words import chunks, tidy
 
 
 @dataclass(frozen=True)
@@ -130,4 +130,4 @@ def media(documents: DataFrame, config: Config = Config(), keep_wav: bool = Fals
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), *(pa.array(x, kind) for x, (_, kind) in zip(columns, fields[1:], strict=True))], schema=pa.schema(fields))
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<int>, codes array<long>"
-    return documents.select("doc_id", "text").mapInArrow(run, schema + ", wav binary" * keep_wav)
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), schema + ", wav binary" * keep_wav)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.llm.shared import written
-from corpusloom.llm.words import slices
+from corpusloom.llm.words import slices, tidy
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, config: Config = Config(),
                     out.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int64)] if keep_ids else [])))
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*out, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids)
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids)
 
 
 # ---- the plan, on counts
@@ -304,7 +304,7 @@ def place(rows: DataFrame, config: Config = Config()) -> DataFrame:
             added = [pa.array(sequence[at] + within // times[at]), pa.array(offset[at] + within % times[at] * length)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *added], [*columns, "sequence_id", "offset"])
 
-    return numbered.mapInArrow(run, StructType([*rows.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    return numbered.mapInArrow(tidy(run), StructType([*rows.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 def pack(documents: DataFrame, tokenizer_path: str, config: Config = Config(), keep_ids: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.words import slices
+from corpusloom.llm.words import slices, tidy
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6  # kinds of pieces in the file format
@@ -161,7 +161,7 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids array<int>, ids_crc32 long, exact boolean")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_ids long, ids array<int>, ids_crc32 long, exact boolean")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -175,4 +175,4 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
                 texts = ["" if ids is None else codec.decode(np.array(ids, np.int32)) for ids in rows.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import written
-from corpusloom.llm.words import Words, chunks
+from corpusloom.llm.words import Words, chunks, tidy
 
 THRESHOLD = 0.7
 STATISTICS = (
@@ -110,7 +110,7 @@ def with_statistics(documents: DataFrame) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, stats.size + 1, stats.shape[1], dtype=np.int32)), pa.array(stats.ravel()))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), values], ["doc_id", "stats"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, stats array<double>")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, stats array<double>")
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -188,8 +188,8 @@ def fit(rows: DataFrame, config: Config = Config()) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()])], ["part", "sums"])
 
     schema = "part int, sums binary"
-    sums = rows.where("use = 'fit'").select("stats", "label", F.spark_partition_id().alias("part")).mapInArrow(partition_sums, schema)
-    sums = sums.repartition(config.groups, "part").mapInArrow(added, schema)
+    sums = rows.where("use = 'fit'").select("stats", "label", F.spark_partition_id().alias("part")).mapInArrow(tidy(partition_sums), schema)
+    sums = sums.repartition(config.groups, "part").mapInArrow(tidy(added), schema)
     gathered = [np.frombuffer(r.sums).reshape(wide, wide + 2) for r in sums.collect()]
     if not gathered:
         return model
@@ -207,7 +207,7 @@ def fit(rows: DataFrame, config: Config = Config()) -> Model:
                 some = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some].astype(float)), pa.array(total[some])], ["bin", "weight", "total"])
 
-    counts = rows.where("use = 'calibrate'").select("stats", "label").mapInArrow(binned, "bin long, weight double, total double")
+    counts = rows.where("use = 'calibrate'").select("stats", "label").mapInArrow(tidy(binned), "bin long, weight double, total double")
     bins = counts.groupBy("bin").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total")).collect()
     weight, sums = np.zeros(config.bins), np.zeros(config.bins)
     for r in bins:
@@ -227,7 +227,7 @@ def score(stats: DataFrame, model: Model, config: Config = Config()) -> DataFram
                 p = model.probability(_matrix(batch), config)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return stats.select("doc_id", "stats").mapInArrow(run, "doc_id long, score double, predicted int")
+    return stats.select("doc_id", "stats").mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def learn(stats: DataFrame, labels: DataFrame, fit_rows: Column, calibrate_rows: Column, config: Config = Config()) -> Model:
@@ -250,4 +250,4 @@ def kept(documents: DataFrame, model: Model, config: Config = Config()) -> DataF
         for rows, texts in chunks(batches):
             yield rows if model.beta is None else rows.filter(pa.array(model.probability(statistics(texts), config) >= THRESHOLD))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)

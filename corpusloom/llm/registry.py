@@ -37,7 +37,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return secrets.scan(documents, secrets.train(secrets.samples(documents)))
+    return secrets.scan(documents, secrets.learn(documents))
 
 
 @query

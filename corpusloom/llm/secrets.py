@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.words import slices
+from corpusloom.llm.words import slices, tidy
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -107,9 +107,10 @@ def outside(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
     return [*parts, (at, len(text))]
 
 
-def samples(documents: DataFrame, config: Config = Config()) -> DataFrame:
-    """Labelled samples (sample, label, weight) of all documents: values of the fixed patterns, 1; every other token of some length, 0."""
+_Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
+def _sampling(config: Config) -> _Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
             found: dict[tuple[str, int], int] = {}
@@ -131,29 +132,28 @@ def samples(documents: DataFrame, config: Config = Config()) -> DataFrame:
                 pairs = list(found)
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in pairs], pa.string()), pa.array([y for _, y in pairs], pa.int32()), pa.array(list(found.values()), pa.int64())], ["sample", "label", "weight"])
 
-    return documents.select("text").mapInArrow(run, "sample string, label int, weight long")
+    return run
 
 
-def train(samples: DataFrame, config: Config = Config()) -> np.ndarray | None:
-    """Log-likelihood ratio, random over ordinary, of each transition; None without samples of both labels."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, STATES * STATES))
-        for whole in batches:
-            for begin in range(0, len(whole), 5000):
-                batch = whole.slice(begin, 5000)
-                label, weight = batch.column("label").to_numpy(), batch.column("weight").to_numpy()
-                # All samples in one row of states, each between two states that stand for begin and end.
-                row = _STATE[np.frombuffer("\n".join(["", *batch.column("sample").to_pylist(), ""]).encode("ascii"), np.uint8)]
-                of = np.cumsum(row[:-1] == STATES - 1) - 1
-                step = row[:-1] * STATES + row[1:]
-                for y in (0, 1):
-                    own = label[of] == y
-                    counts[y] += np.bincount(step[own], weight[of[own]], STATES * STATES)
-        label, step = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(step, pa.int32()), pa.array(counts[label, step])], ["label", "step", "n"])
-
-    rows = samples.mapInArrow(run, "label int, step int, n double").groupBy("label", "step").agg(F.sum("n").alias("n")).collect()  # at most 2 * STATES**2 rows
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros((2, STATES * STATES))
+    for whole in batches:
+        for begin in range(0, len(whole), 5000):
+            batch = whole.slice(begin, 5000)
+            label, weight = batch.column("label").to_numpy(), batch.column("weight").to_numpy()
+            # All samples in one row of states, each between two states that stand for begin and end.
+            row = _STATE[np.frombuffer("\n".join(["", *batch.column("sample").to_pylist(), ""]).encode("ascii"), np.uint8)]
+            of = np.cumsum(row[:-1] == STATES - 1) - 1
+            step = row[:-1] * STATES + row[1:]
+            for y in (0, 1):
+                own = label[of] == y
+                counts[y] += np.bincount(step[own], weight[of[own]], STATES * STATES)
+    label, step = np.nonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(step, pa.int32()), pa.array(counts[label, step])], ["label", "step", "n"])
+
+
+def _fitted(counted: DataFrame, config: Config) -> np.ndarray | None:
+    rows = counted.groupBy("label", "step").agg(F.sum("n").alias("n")).collect()  # at most 2 * STATES**2 rows
     counts = np.zeros((2, STATES * STATES))
     for r in rows:
         counts[r.label, r.step] = r.n
@@ -164,6 +164,22 @@ def train(samples: DataFrame, config: Config = Config()) -> np.ndarray | None:
     return (log[1] - log[0]).ravel()
 
 
+def samples(documents: DataFrame, config: Config = Config()) -> DataFrame:
+    """Labelled samples (sample, label, weight) of all documents: values of the fixed patterns, 1; every other token of some length, 0."""
+    return documents.select("text").mapInArrow(tidy(_sampling(config)), "sample string, label int, weight long")
+
+
+def train(samples: DataFrame, config: Config = Config()) -> np.ndarray | None:
+    """Log-likelihood ratio, random over ordinary, of each transition; None without samples of both labels."""
+    return _fitted(samples.mapInArrow(tidy(_counting), "label int, step int, n double"), config)
+
+
+def learn(documents: DataFrame, config: Config = Config()) -> np.ndarray | None:
+    """train() of the documents' samples, which are counted by the same Python worker that finds them."""
+    sampling = _sampling(config)
+    return _fitted(documents.select("text").mapInArrow(tidy(lambda batches: _counting(sampling(batches))), "label int, step int, n double"), config)
+
+
 def scan(documents: DataFrame, ratio: np.ndarray | None, config: Config = Config()) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) of every row."""
 
@@ -181,7 +197,7 @@ def scan(documents: DataFrame, ratio: np.ndarray | None, config: Config = Config
             columns = [pa.array(x, pa.int64() if i < len(KINDS) else pa.string()) for i, x in enumerate(zip(*out, strict=True))]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), *columns], ["doc_id", *names])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: str, mark: str = "[secret]") -> str:
@@ -208,5 +224,5 @@ def redact(documents: DataFrame, ratio: np.ndarray | None, config: Config = Conf
                 texts.append(text)
             yield rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(texts, rows.schema.field("text").type))
 
-    out = documents.mapInArrow(run, documents.schema)
+    out = documents.mapInArrow(tidy(run), documents.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out

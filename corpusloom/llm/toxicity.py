@@ -7,7 +7,7 @@ word is embedded as the sum. Filters of several
 widths slide over the embeddings, each is max-pooled over the whole text, and a
 logistic layer reads the pools. Training is mini-batch Adam in numpy on a
 bounded sample of labelled rows, collected to the driver; the model has a fixed
-size and goes to the tasks in the closure of a mapInPandas.
+size and goes to the tasks in the closure of a mapInArrow.
 
 Thresholds are calibrated by language: on held-back sample rows each guessed
 language (from the text's own common words) gets the probability that separates
@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import language
 from corpusloom.llm.shared import labelled_sample
-from corpusloom.llm.words import PUNCTUATION, Words, chunks, encoded
+from corpusloom.llm.words import PUNCTUATION, Words, chunks, encoded, tidy
 
 THRESHOLD = 0.7
 SLICE = 300_000  # bytes of text that are scored at once
+WINDOWS = 50_000  # positions of a filter whose values are in memory at once, however long a text is
 
 
 @dataclass(frozen=True)
@@ -65,10 +66,11 @@ class Model:
     thresholds: np.ndarray = field(default_factory=lambda: np.full(len(language.NAMES), THRESHOLD))
 
 
-def features(words: Words, beginnings: tuple[int, ...]) -> np.ndarray:
-    """(word, feature) hashes: of the word itself and of its beginnings; 0 where it is no longer than that."""
-    whole, *parts = words.hashes_to([words.end, *(words.start + n for n in beginnings)])
-    return np.stack([whole, *(np.where(words.end - words.start > n, h ^ np.uint64(n), np.uint64(0)) for n, h in zip(beginnings, parts, strict=True))], 1)
+def features(words: Words, beginnings: tuple[int, ...], some: np.ndarray | None = None) -> np.ndarray:
+    """(word, feature) hashes, of some words or all: of the word itself and of its beginnings; 0 where it is no longer than that."""
+    start, end = (words.start, words.end) if some is None else (words.start[some], words.end[some])
+    whole, *parts = words.hashes_to([end, *(start + n for n in beginnings)], some)
+    return np.stack([whole, *(np.where(end - start > n, h ^ np.uint64(n), np.uint64(0)) for n, h in zip(beginnings, parts, strict=True))], 1)
 
 
 def buckets_of(hashes: np.ndarray, known: np.ndarray, buckets: int) -> np.ndarray:
@@ -95,21 +97,23 @@ def pools(row: np.ndarray, begin: np.ndarray, tables: dict[int, np.ndarray], bia
         known = np.flatnonzero(row)
         starts = np.unique((known[:, None] - np.arange(width)).ravel())
         starts = starts[(starts >= gap - width + 1) & (starts >= 0) & (starts < len(row) - width + 1)]
-        value = sum(table[k][row[starts + k]] for k in range(width))
         best = np.zeros((len(begin), table.shape[2]), table.dtype)
-        if len(starts):
-            doc = np.searchsorted(begin - width + 1, starts, "right") - 1
+        for some in np.array_split(starts, -(-len(starts) // WINDOWS)) if len(starts) else []:
+            value = sum(table[k][row[some + k]] for k in range(width))
+            doc = np.searchsorted(begin - width + 1, some, "right") - 1
             first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
             best[doc[first]] = np.maximum(best[doc[first]], np.maximum.reduceat(value, first))
         found.append(np.maximum(best + bias[width], 0))
     return np.concatenate(found, 1)
 
 
-def raw_logits(model: Model, hashed: np.ndarray, doc: np.ndarray, docs: int, config: Config) -> np.ndarray:
-    """hashed: the features of each word. Each different word goes through the tables once."""
-    gap = max(config.widths)
-    _, first, ids = np.unique(hashed[:, 0], return_index=True, return_inverse=True)
-    spots = buckets_of(hashed[first], model.known, config.buckets)
+def raw_logits(model: Model, words: Words, hashes: np.ndarray, docs: int, config: Config) -> np.ndarray:
+    """Each different word has its features taken and goes through the tables once."""
+    gap, doc = max(config.widths), words.doc
+    _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    spots = np.empty((len(first), 1 + len(config.beginnings)), np.int64)
+    spots[order] = buckets_of(features(words, config.beginnings, first[order]), model.known, config.buckets)
     tables = {}
     for width, table in model.tables.items():
         own = np.zeros((width, len(first) + 1, table.shape[2]), table.dtype)
@@ -123,9 +127,9 @@ def raw_logits(model: Model, hashed: np.ndarray, doc: np.ndarray, docs: int, con
 
 def scores(model: Model, texts: list[bytes], config: Config) -> np.ndarray:
     words = Words(texts, PUNCTUATION)
-    hashed = features(words, config.beginnings)
-    logit = raw_logits(model, hashed, words.doc, len(texts), config)
-    cut = model.thresholds[language.guess(hashed[:, 0], words.doc, len(texts))]
+    hashes = words.hashes()
+    logit = raw_logits(model, words, hashes, len(texts), config)
+    cut = model.thresholds[language.guess(hashes, words.doc, len(texts))]
     z = logit - np.log(cut / (1 - cut)) + np.log(THRESHOLD / (1 - THRESHOLD))
     return np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
 
@@ -222,9 +226,9 @@ def train(texts: list[bytes], y: np.ndarray, config: Config = Config()) -> Model
         q, tongue = [np.zeros(0)], [np.zeros(0, np.int64)]
         for i in rows:
             w = Words([texts[i]], PUNCTUATION)
-            hashed = features(w, config.beginnings)
-            q.append(1 / (1 + np.exp(-np.clip(raw_logits(model, hashed, w.doc, 1, config), -30, 30))))
-            tongue.append(language.guess(hashed[:, 0], w.doc, 1))
+            hashes = w.hashes()
+            q.append(1 / (1 + np.exp(-np.clip(raw_logits(model, w, hashes, 1, config), -30, 30))))
+            tongue.append(language.guess(hashes, w.doc, 1))
         return np.concatenate(q), np.concatenate(tongue)
 
     q, tongue = probability(held)
@@ -251,7 +255,7 @@ def score(documents: DataFrame, model: Model, config: Config = Config()) -> Data
             s = scores(model, texts, config)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def kept(documents: DataFrame, model: Model, config: Config = Config()) -> DataFrame:
@@ -261,4 +265,4 @@ def kept(documents: DataFrame, model: Model, config: Config = Config()) -> DataF
         for rows, texts in chunks(batches, SLICE):
             yield rows.filter(pa.array(scores(model, texts, config) < THRESHOLD))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)

@@ -7,7 +7,7 @@ classifiers. exact_words() tells words apart by their bytes.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 2**64))
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 CHUNK = 1_000_000
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 WINDOW = 1 << 18
 
 
@@ -70,20 +71,21 @@ class Words:
         """A 64-bit hash of each word."""
         return self.hashes_to([self.end])[0]
 
-    def hashes_to(self, ends: list[np.ndarray]) -> list[np.ndarray]:
-        """For each array of ends, hashes of the words up to there: a polynomial of the bytes, taken from prefix sums, then mixed.
+    def hashes_to(self, ends: list[np.ndarray], some: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each array of ends, hashes of the words (of `some` of them, ascending) up to there: a polynomial of the bytes, taken from prefix sums, then mixed.
 
         Words are taken some WINDOW bytes at a time, so that the sums stay small.
         """
-        ends = [np.minimum(e, self.end) for e in ends]
-        out = [np.empty(len(self.start), np.uint64) for _ in ends]
-        cuts = np.searchsorted(self.start, np.arange(0, len(self.data), WINDOW))
-        for a, b in zip(cuts, np.append(cuts[1:], len(self.start)), strict=True):
+        starts, stops = (self.start, self.end) if some is None else (self.start[some], self.end[some])
+        ends = [np.minimum(e, stops) for e in ends]
+        out = [np.empty(len(starts), np.uint64) for _ in ends]
+        cuts = np.searchsorted(starts, np.arange(0, len(self.data), WINDOW))
+        for a, b in zip(cuts, np.append(cuts[1:], len(starts)), strict=True):
             if a == b:
                 continue
-            first, last = self.start[a], self.end[b - 1]
+            first, last = starts[a], stops[b - 1]
             power, inverse = _power_tables(last - first + 1)
-            sums, s = np.zeros(last - first + 1, np.uint64), self.start[a:b] - first
+            sums, s = np.zeros(last - first + 1, np.uint64), starts[a:b] - first
             with np.errstate(over="ignore"):
                 np.cumsum((self.data[first:last].astype(np.uint64) + np.uint64(1)) * power[: last - first], out=sums[1:])
                 for o, e in zip(out, ends, strict=True):
@@ -102,7 +104,7 @@ def encoded(text: object) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-TRIM = 32_000_000  # bytes of rows after which freed memory is given back
+TRIM = 16_000_000  # bytes of rows after which freed memory is given back
 
 
 def trimmed() -> None:
@@ -113,6 +115,16 @@ def trimmed() -> None:
         libc.malloc_trim(0)
 
 
+def tidy(run: Step) -> Step:
+    """A task's function that gives its memory back when it is done: a worker waits for its next task, with others beside it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trimmed()  # the frame of run and all it held are gone by now
+
+    return tidied
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Rows with some `size` bytes of text in all; a longer text comes alone."""
     trimmed()
