@@ -106,7 +106,7 @@ class Trie:
 
     A successor is stored as context place * 2**32 + token, so that the whole level is
     one monotone sequence; a successor is looked for among its context's own, which lie
-    between two pointers. Contexts and tokens have 32 bits, in this trie.
+    between two pointers. Tokens have up to 32 bits, and contexts as many as a place in a sequence may have.
     """
 
     def __init__(self, contexts: Monotone, pointers: Monotone, successors: Monotone, codes: np.ndarray, weights: np.ndarray, memory: mmap.mmap | None = None):

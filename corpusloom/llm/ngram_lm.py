@@ -18,7 +18,7 @@ found in a bounded sample of blocks, are spread over many by their last token, a
 c(u) is counted over all blocks first. Which contexts the sample finds changes
 the balance, never a result. The vocabulary never reaches the driver.
 
-n-grams are known by their shard, whose size is bounded, and 28 bits of the context's hash and 18 of the token's; words by their bytes' 64-bit hash.
+n-grams are known by their shard, whose size is bounded, and 34 bits of the context's hash and 30 of the token's; words by their bytes' 64-bit hash.
 Codes are 254 steps of a logarithm from the least share that so many tokens can give.
 
 Null texts count as empty: their only token is the end. Rows without doc_id are
@@ -46,7 +46,7 @@ from corpusloom.llm.words import mix, trimmed
 STEPS = 254
 BEGIN, END = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC2B2AE3D27D4EB4F)  # stand for hashes of the places before and after a text
 _M = np.uint64(0x2545F4914F6CDD1D)
-_CONTEXT, _TOKEN = np.uint64(28), np.uint64(18)  # bits
+_CONTEXT, _TOKEN = np.uint64(34), np.uint64(30)  # bits
 
 
 def gram(context: np.ndarray, token: np.ndarray) -> np.ndarray:
