@@ -19,7 +19,6 @@ occur; other columns of the input play no part. An empty table gives no rows.
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from array import array
@@ -76,9 +75,10 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        # The shortcuts rest on this vocabulary's way of cutting words; any other is encoded text by text.
-        self.parts = spec["pre_tokenizer"] is not None and "Removed" in json.dumps(spec["pre_tokenizer"]) and "Lowercase" in json.dumps(spec["normalizer"])
+        # The shortcuts rest on this vocabulary's way of cutting words; any other is encoded text by text. Only these two parts of
+        # the file are looked at, as the whole would be parsed anew for each task.
+        said = [b"" if part is None else part.__getstate__() for part in (self.tokenizer.pre_tokenizer, self.tokenizer.normalizer)]
+        self.parts = b"Removed" in said[0] and b"Lowercase" in said[1]
         # How the model writes the bytes of the letters beyond ASCII.
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.written = {c: "".join(x for x, _ in level.pre_tokenize_str(chr(c))) for c in range(0xC0, 0x100)}
