@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: While a table is written: shuffle files go when its query ends, and Python workers get rows in batches of bounded size.
 _SETTINGS = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
@@ -50,6 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collected(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect their garbage, so that heap which earlier work no longer needs goes back to the system.
+
+    An executor's memory also holds its Python workers; a heap that once grew stays large
+    beside them through all later stages. A short task for each slot; results do not depend on it.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.expr("java_method('java.lang.System', 'gc')").alias("gc")).write.format("noop").mode("overwrite").save()
+
+
 def input_partitions(df: DataFrame, megabytes: float, least: int = 1) -> int:
     """How many parts of about `megabytes` the plan's estimated size makes."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
