@@ -16,30 +16,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import jaccard_join, packing, quality, secrets, toxicity
-from corpusloom.llm.shared import fold, written
+from corpusloom.llm.shared import collected, fold, written
 from corpusloom.session import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    collected(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
     return toxicity.kept(docs, model)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    collected(spark)
     key = fold(F.col("doc_id"), 4)
     stats = written(quality.with_statistics(docs), "quality-stats")
     return quality.kept(docs, quality.learn(stats, table(spark, sf_dir, "labels"), fit_rows=key.isin(0, 1), calibrate_rows=key == 3))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    collected(spark)
     return jaccard_join.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs, secrets.train(secrets.samples(docs)))
+    collected(spark)
+    return secrets.redact(docs, secrets.learn(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    collected(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
