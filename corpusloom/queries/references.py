@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import references as R
 from corpusloom.operators.ranges import chapter_slices
+from corpusloom.operators.relational import spread
 from corpusloom.operators.selection import overlaps_years
 from corpusloom.queries.registry import query
 from corpusloom.session import table
@@ -21,10 +22,14 @@ def _made(*parts: str) -> str:
     return f"m as (select o_orderkey, {pick(0)} as written, {pick(1)} as book, {pick(2)} as name, o_custkey % 15 + 1 as c, o_custkey % 20 + 1 as v, o_orderkey % 5 as form from orders)" + "".join(f", {p}" for p in parts)
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' keys, dealt over all cores: texts are made from them and read by rules that cost more than the scan."""
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), megabytes=1.0)
+
+
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda i: F.element_at(F.array(*[F.lit(b[i]) for b in _BOOKS]), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", pick(0).alias("written"), pick(2).alias("name"), (F.col("o_custkey") % 15 + 1).alias("c"), (F.col("o_custkey") % 20 + 1).alias("v"), (F.col("o_orderkey") % 5).alias("form"))
+    return _orders(spark, sf_dir).select("o_orderkey", pick(0).alias("written"), pick(2).alias("name"), (F.col("o_custkey") % 15 + 1).alias("c"), (F.col("o_custkey") % 20 + 1).alias("v"), (F.col("o_orderkey") % 5).alias("form"))
 
 
 def _text(*parts: object) -> Column:
@@ -76,7 +81,7 @@ union all select o_orderkey, 6, 'A heading', 47008016, 47008016 from o""")
 def topic_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists whose later references inherit book and chapter, with labels from their line or one above."""
     chapter, verse, written = _parts()
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 15 + 1).alias("c"))
+    o = _orders(spark, sf_dir).select("o_orderkey", (F.col("o_custkey") % 15 + 1).alias("c"))
     body = _text("- Laws of: Ex ", chapter, ":14-16, 27-31; ", chapter + 1, ":1, 2\nA heading:\nJud ", chapter, " 2 Co 8:16")
     return o.select("o_orderkey", F.inline(R.topic_entries(body)["entries"])).select("o_orderkey", "ordinal", "label", "start", "end")
 
@@ -92,7 +97,7 @@ _PLACES = ", ".join(f"({i}, {s}, {str(s in c).lower()})" for i, (_, n, c) in enu
 def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that a question names, and whether they are surely meant."""
     q = F.element_at(F.array(*[F.lit(x[0]) for x in _QUESTIONS]), (F.col("o_orderkey") % len(_QUESTIONS) + 1).cast("int"))
-    got = table(spark, sf_dir, "orders").select("o_orderkey", R.question_intent(q).alias("r"))
+    got = _orders(spark, sf_dir).select("o_orderkey", R.question_intent(q).alias("r"))
     return got.select("o_orderkey", F.explode("r.named").alias("n"), "r.certain").select("o_orderkey", F.col("n.start").alias("start"), F.array_contains("certain", F.col("n")).alias("certain"))
 
 
@@ -102,7 +107,7 @@ def stated_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years that headings state with an era, and whether they overlap A.D. 50 to 90."""
     k, y = F.col("o_orderkey") % 4, F.col("o_custkey") % 9999 + 1  # years have four digits at most
     heading = F.when(k == 0, _text("Of A.D. ", y)).when(k == 1, _text("Kings, ", y, " B.C.")).when(k == 2, _text("From 70 BCE to A. D. ", y)).otherwise(_text("Chapter ", y))
-    got = table(spark, sf_dir, "orders").select("o_orderkey", R.years_stated(heading).alias("y"))
+    got = _orders(spark, sf_dir).select("o_orderkey", R.years_stated(heading).alias("y"))
     first, last = F.get("y", 0), F.get("y", 1)
     return got.select("o_orderkey", first.alias("first"), last.alias("last"), overlaps_years(first, last, R.asked_years("what happened A.D. 50-90")).alias("overlaps"))
 
