@@ -98,7 +98,9 @@ def build(texts: DataFrame, path: str, keys: tuple[str, ...], text: Column, colu
     schema = "term string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n int, places array<int>"
     rows = cut.mapInArrow(run, schema).withColumn("bucket", _bucket(F.col("term")))
     # Rebalanced, not repartitioned: a bucket that a frequent word swells is split into files of the usual size.
-    rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    # A worker holds a batch's words several times over, so batches are small.
+    with tables.small_batches(texts.sparkSession):
+        rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     index = TextIndex(path, keys, config)
     spark = texts.sparkSession
     stored = spark.read.schema(f"{schema}, bucket int").parquet(f"{path}/postings")
