@@ -9,8 +9,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -24,6 +25,7 @@ ograve oacute ocirc otilde ouml oslash ugrave uacute ucirc uuml yacute yuml szli
 # Entities that stand for a plain blank, and for nothing.
 BLANK, NOTHING = ("nbsp", "ensp", "emsp", "thinsp"), ("shy", "zwnj", "zwj")
 ENTITY = {n: " " if n in BLANK else "" if n in NOTHING else html.unescape(f"&{n};") for n in NAMES}
+_ROWS = 128
 # Marks that count as blanks.
 MARKS = re.compile(r"""[‘’“”'".,;:!?()\[\]{}–—…-]""")
 
@@ -64,13 +66,22 @@ def snapped(quote: str, body: str, least: int = 40, share: float = 0.4) -> str |
     return kept if size >= least and size >= share * len(whole) else None
 
 
-@F.pandas_udf(StringType())
-def normalized(text: pd.Series) -> pd.Series:
+def _by_rows(f: Callable[..., str | None], *columns: pa.Array) -> pa.Array:
+    """f of each row, null where a column is. A batch may have megabytes of text, so only a few rows at a time are Python strings."""
+    parts = [pa.array([], pa.string())]
+    for at in range(0, len(columns[0]), _ROWS):
+        rows = zip(*[c.slice(at, _ROWS).to_pylist() for c in columns], strict=True)
+        parts.append(pa.array([None if None in row else f(*row) for row in rows], pa.string()))
+    return pa.concat_arrays(parts)
+
+
+@F.arrow_udf(StringType())
+def normalized(text: pa.Array) -> pa.Array:
     """normal() of each text; null stays null."""
-    return text.map(normal, na_action="ignore")
+    return _by_rows(normal, text)
 
 
-@F.pandas_udf(StringType())
-def snapped_quote(quote: pd.Series, body: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def snapped_quote(quote: pa.Array, body: pa.Array) -> pa.Array:
     """snapped() of each pair; null where either is null or no prefix is long enough."""
-    return pd.Series([None if q is None or b is None else snapped(q, b) for q, b in zip(quote, body, strict=True)], dtype=object)
+    return _by_rows(snapped, quote, body)
