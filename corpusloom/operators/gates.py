@@ -154,22 +154,34 @@ def garbage_line(line: Column) -> Column:
     return (t != "") & (t.rlike(r"([^A-Za-z0-9_])\1{4,}") | ((F.length(solid) >= 4) & (letters / F.length(solid) < 0.45)) | (mixed >= 2))
 
 
-def without_chrome(lines: DataFrame, by: list[str], entry_start: Column, position: str = "position", line: str = "line") -> DataFrame:
+def without_chrome(lines: DataFrame, by: list[str], entry_start: Column, position: str = "position", line: str = "line", unit: str | None = None) -> DataFrame:
     """lines with class: kept, blank, frequent, page_number or guide.
 
     Frequent are short lines that come ten times or more in a group; guides, short lines
-    of three words at most between blank ones that open no entry.
+    of three words at most between blank ones that open no entry. Lines of a group are in the order of
+    their position, or of their unit and their position in it: then no task sorts more
+    than a unit's lines, and only what units begin and end with is sorted by group.
     """
     t = F.regexp_replace(F.col(line), r"^\s+|\s+$", "")
-    order = Window.partitionBy(*by).orderBy(position)
-    rows = lines.withColumn("_t", t)
-    n = F.count("*").over(Window.partitionBy(*by, "_t"))
-    blank = lambda c: F.coalesce(c == "", F.lit(True))
-    rows = rows.withColumn("_n", n).withColumn("_alone", blank(F.lag("_t").over(order)) & blank(F.lead("_t").over(order)))
+    own = [*by, *([unit] if unit else [])]
+    rows = lines.withColumn("_t", t).withColumn("_empty", F.coalesce(F.col("_t") == "", F.lit(True)))
+    same = lambda left, right, keys: [left[k].eqNullSafe(right[f"_by_{k}"]) for k in keys]
     # Characters, words and times.
+    short = rows.where((F.length("_t") <= 42) & ~F.col("_empty"))
+    often = short.groupBy(*[F.col(k).alias(f"_by_{k}") for k in [*by, "_t"]]).agg(F.count("*").alias("_n")).where("_n >= 10")
+    rows = rows.join(often, same(rows, often, by) + [rows["_t"] == often["_by__t"]], "left").drop(*[f"_by_{k}" for k in [*by, "_t"]])
+    order = Window.partitionBy(*own).orderBy(position)
+    before, after = F.lag("_empty").over(order), F.lead("_empty").over(order)
+    if unit:
+        ends = lines.withColumn("_empty", F.coalesce(t == "", F.lit(True))).groupBy(*[F.col(k).alias(f"_by_{k}") for k in own]).agg(F.min_by("_empty", position).alias("_first"), F.max_by("_empty", position).alias("_last"))
+        units = Window.partitionBy(*[f"_by_{k}" for k in by]).orderBy(f"_by_{unit}")
+        ends = ends.withColumn("_before", F.lag("_last").over(units)).withColumn("_after", F.lead("_first").over(units)).drop("_first", "_last")
+        rows = rows.join(ends, same(rows, ends, own), "left").drop(*[f"_by_{k}" for k in own])
+        before, after = F.coalesce(before, "_before"), F.coalesce(after, "_after")
+    rows = rows.withColumn("_alone", F.coalesce(before, F.lit(True)) & F.coalesce(after, F.lit(True)))
     guide = F.col("_alone") & (F.length("_t") <= 32) & (F.size(F.split("_t", r"\s+")) <= 3) & ~F.coalesce(entry_start, F.lit(False))
-    kind = F.when(F.col("_t") == "", "blank").when((F.length("_t") <= 42) & (F.col("_n") >= 10), "frequent").when(F.col("_t").rlike(r"^\d{1,4}$"), "page_number").when(guide, "guide").otherwise("kept")
-    return rows.withColumn("class", kind).drop("_t", "_n", "_alone")
+    kind = F.when(F.col("_t") == "", "blank").when(F.col("_n").isNotNull(), "frequent").when(F.col("_t").rlike(r"^\d{1,4}$"), "page_number").when(guide, "guide").otherwise("kept")
+    return rows.withColumn("class", kind).select(*lines.columns, "class")
 
 
 def edition_faults(texts: DataFrame, markers: list[str], head: int = 60_000, text: str = "text") -> DataFrame:

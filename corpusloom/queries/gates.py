@@ -156,8 +156,8 @@ n as (select *, count(*) over (partition by source, t) as n, coalesce(lag(t) ove
 select source, case when t = '' then 'blank' when length(t) <= 42 and n >= 10 then 'frequent' when regexp_full_match(t, '[0-9]{1,4}') then 'page_number' when alone and length(t) <= 32 and len(string_split_regex(t, '[\s\x0B]+')) <= 3 and not starts_with(t, 'Entry') then 'guide' else 'kept' end as class, count(*) as n_lines from n group by 1, 2""")
 def page_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each source by what they are: page furniture by how often it comes, guide words by standing alone, and the rest."""
-    lines = table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("position", F.struct("doc_id", "p"))
-    marked = G.without_chrome(lines, ["source"], F.trim("line").startswith("Entry"))
+    lines = table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    marked = G.without_chrome(lines, ["source"], F.trim("line").startswith("Entry"), unit="doc_id")
     return marked.groupBy("source", "class").agg(F.count("*").alias("n_lines"))
 
 
