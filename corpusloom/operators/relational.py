@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, *keys: str, megabytes: float = 2.0) -> DataFrame:
-    """df dealt over tasks of about `megabytes` each as the plan estimates its size, one a core at least: by keys, else in turn.
+def spread(df: DataFrame, *keys: str, megabytes: float = 2.0, most: int = 4096) -> DataFrame:
+    """df dealt over tasks of about `megabytes` each as the plan estimates its size, one a core at least and `most` at most: by keys, else in turn.
 
     A file is read by as many tasks as it has row groups, which may be one; and a session's number of
     shuffle partitions does not grow with a table. Work that is heavy for each row, or that sorts its groups, gets its tasks here.
+    Best on what was read, before joins, whose estimates are products.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // int(megabytes * 2**20)))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, min(most, -(-size // int(megabytes * 2**20))))
     return df.repartition(tasks, *keys)
 
 

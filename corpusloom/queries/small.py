@@ -9,7 +9,7 @@ from corpusloom.functions import keys as K
 from corpusloom.functions.references import BOOKS
 from corpusloom.operators import fixpoint, matching
 from corpusloom.operators.contract import SCREENS, screen_hits
-from corpusloom.operators.relational import best_of, islands
+from corpusloom.operators.relational import best_of, islands, spread
 from corpusloom.queries.registry import query
 from corpusloom.session import table
 from corpusloom.sources.readers import occurrence_ids
@@ -362,6 +362,7 @@ def flattened_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping marks of a text as segments that cover it once, the last mark winning, equal neighbours merged."""
     start, end = F.col("l_partkey") % 90, F.least(F.col("l_partkey") % 90 + 1 + F.col("l_suppkey") % 15, F.lit(100))
     m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("t"), (F.col("l_partkey").cast("long") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("o"), start.alias("s"), end.alias("e"), F.col("l_returnflag").alias("color"))
+    m = spread(m, "t", megabytes=0.5)  # every step below is of a text
     edges = m.select("t", F.explode(F.array("s", "e", F.lit(0).cast("long"), F.lit(100).cast("long"))).alias("lo")).distinct()
     pieces = edges.withColumn("hi", F.lead("lo").over(Window.partitionBy("t").orderBy("lo"))).where("hi is not null")
     covered = pieces.join(m, (pieces["t"] == m["t"]) & (m["s"] <= pieces["lo"]) & (pieces["hi"] <= m["e"]), "left").select(pieces["t"], "lo", "hi", "o", "color")
