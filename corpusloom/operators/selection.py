@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.relational import spread
+
 # Weights of the signals of a history search, and the least cosine that counts as a match.
 WEIGHTS = {"entity": 3.0, "period": 2.0, "cosine": 1.0, "text": 0.5}
 COSINE_FLOOR = 0.6
@@ -55,7 +57,8 @@ def diverse(entries: DataFrame, most: int, by: list[str], position: str = "posit
     """
     kind = F.coalesce(F.nullif("tradition", F.lit("")), F.nullif(era(F.col("year")), F.lit("")), F.lit("Unknown"))
     whole, year = Window.partitionBy(*by), F.coalesce("year", F.lit(9999))
-    e = entries.withColumn("_kind", kind).withColumn("_n", F.count("*").over(whole))
+    # All windows are of a group, so one shuffle to tasks of bounded size serves them all.
+    e = spread(entries, *by, megabytes=0.5).withColumn("_kind", kind).withColumn("_n", F.count("*").over(whole))
     e = e.withColumn("_round", F.row_number().over(Window.partitionBy(*by, "_kind").orderBy(year, position)))
     e = e.withColumn("_turn", F.min(position).over(Window.partitionBy(*by, "_kind")))
     e = e.withColumn("_first", F.row_number().over(Window.partitionBy(*by, "author").orderBy("_round", "_turn")) == 1)
@@ -73,7 +76,7 @@ def diverse(entries: DataFrame, most: int, by: list[str], position: str = "posit
 def passage_voices(entries: DataFrame, by: list[str], most: int = 2) -> DataFrame:
     """Voices (author, tradition, year, position, on_verse) with their rung: verse if those on the verse have two authors, else chapter if all have; else none are given."""
     authors = lambda c: F.size(F.collect_set(c).over(Window.partitionBy(*by)))
-    e = entries.withColumn("_exact", authors(F.when(F.col("on_verse"), F.col("author")))).withColumn("_all", authors(F.col("author")))
+    e = spread(entries, *by, megabytes=0.5).withColumn("_exact", authors(F.when(F.col("on_verse"), F.col("author")))).withColumn("_all", authors(F.col("author")))
     e = e.withColumn("rung", F.when(F.col("_exact") >= 2, "verse").when(F.col("_all") >= 2, "chapter")).where(F.col("rung").isNotNull() & (F.col("on_verse") | (F.col("rung") == "chapter")))
     return diverse(e.drop("_exact", "_all"), most, by)
 
