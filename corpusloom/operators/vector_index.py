@@ -230,7 +230,8 @@ def _scored(index: Index, found: DataFrame, probes: DataFrame, lists: DataFrame)
                 s = np.einsum("ij,ij->i", q, _matrix(batch.column("embedding"), size))
                 yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("vec_id"), pa.array(s)], schema=schema)
 
-    rows = found.join(lists.select("list", "vec_id", "embedding"), ["list", "vec_id"]).join(probes.select("qid", "q").distinct(), "qid")
+    # Merged, not broadcast: vectors would pass through the driver in every round.
+    rows = found.join(lists.select("list", "vec_id", "embedding").hint("merge"), ["list", "vec_id"]).join(probes.select("qid", "q").distinct().hint("merge"), "qid")
     return rows.select("qid", "vec_id", "q", "embedding").mapInArrow(run, "qid long, vec_id long, score double")
 
 
@@ -246,11 +247,12 @@ def search(index: Index, queries: DataFrame, k: int, where: Column | None = None
     waiting = kept(_ordered(index, queries, exact))
     some, begin, end, best = int((index.rows > 0).sum()), 0, probes or (8 if exact else index.probes), None
     order = [F.desc(F.round("score", 12)), F.asc("vec_id")]
+    every = index.lists(spark)  # opened once: each time lists all files to the driver
     while True:
         asked = waiting.select("qid", "q", F.explode(F.slice("lists", begin + 1, end - begin)).alias("list"))
         # The lists that are probed are known before the scan, so that only their files are read.
         probed = [r["list"] for r in asked.select("list").distinct().collect()]
-        lists = index.lists(spark).where(F.col("list").isin(probed))
+        lists = every.where(F.col("list").isin(probed))
         rows = lists if where is None else lists.where(where)
         chunks = max(1, -(-int(index.rows[probed].max(initial=1)) // chunk_rows))
         fresh = _scored(index, _short_lists(index, rows, asked, k, chunks, block), asked, lists)
