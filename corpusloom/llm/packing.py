@@ -19,6 +19,7 @@ occur; other columns of the input play no part. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from array import array
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.llm.shared import written
-from corpusloom.llm.words import slices, tidy
+from corpusloom.llm.words import Known, slices, tidy
 
 
 @dataclass(frozen=True)
@@ -48,26 +49,27 @@ class Config:
 
 # ---- token ids
 
-BATCH = 4000  # words that the tokenizer encodes at once
 CHUNK = 2_000_000  # bytes of text in a batch of results
-WINDOW = 1_000_000  # characters of a text that are cut into pieces at once
+WINDOW = 1_000_000  # characters of a text that are cut into words at once
 
 
 class Encoder:
     """Ids of texts, as the tokenizer gives them for each whole text.
 
-    This vocabulary's words never reach over white space, and a part of a text
+    This vocabulary's words never reach over white space, so a text's ids are those of
+    its words, and words seen before come from a cache of bounded size. A word
     that holds only letters, digits and marks falls into runs of letters, single
-    digits and runs of marks, which the tokenizer's model encodes directly; pieces seen
-    before come from a cache of bounded size. Words with any other character, and
+    digits and runs of marks, which the tokenizer's model encodes directly. Words with any other character, and
     all texts of another vocabulary, go through the whole tokenizer.
     """
 
-    CACHE = 24 << 20  # bytes, about
+    CACHE = 40 << 20  # bytes of a generation of words, about
     # What this vocabulary's normaliser and splitter do with such characters.
     _PLAIN = r"A-Za-zÀ-ÖØ-öø-ÿ0-9.,!?;:#$%&*|()+=/_@\-"
-    OTHER = re.compile(rf"([^\t-\r ]*[^{_PLAIN}\t-\r ][^\t-\r ]*)")
+    OTHER = re.compile(rf"[^{_PLAIN}\t-\r ]")
+    PLAIN = "".join(re.findall(rf"[{_PLAIN}\t-\r ]", "".join(map(chr, range(256))))).encode("latin-1")
     PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
+    WORD = re.compile(r"[^\t-\r ]+")
     SPACE = re.compile(r"[\t-\r ]")
 
     def __init__(self, path: str):
@@ -75,6 +77,7 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         # The shortcuts rest on this vocabulary's way of cutting words; any other is encoded text by text. Only these two parts of
         # the file are looked at, as the whole would be parsed anew for each task.
         said = [b"" if part is None else part.__getstate__() for part in (self.tokenizer.pre_tokenizer, self.tokenizer.normalizer)]
@@ -82,52 +85,60 @@ class Encoder:
         # How the model writes the bytes of the letters beyond ASCII.
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.written = {c: "".join(x for x, _ in level.pre_tokenize_str(chr(c))) for c in range(0xC0, 0x100)}
-        self.cache: dict[str, bytes] = {}
-        self.held = 0
-
-    def _plain(self, text: str) -> bytes:
-        """The ids of a text of letters, digits, marks and white space, as 32-bit integers."""
-        pieces = self.PIECE.findall(text.lower())
-        missing = set(pieces).difference(self.cache)
-        if self.held > self.CACHE and missing:
-            self.cache = {p: self.cache[p] for p in set(pieces) - missing}
-            self.held = sum(map(len, self.cache.values())) + 150 * len(self.cache)
-        tokenize = self.tokenizer.model.tokenize
-        for p in missing:
-            ids = array("I", [t.id for t in tokenize(p if p.isascii() else p.translate(self.written))]).tobytes()
-            self.cache[p] = ids
-            self.held += 150 + len(p) + len(ids)
-        return b"".join(map(self.cache.__getitem__, pieces))
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = []
-        for k in range(0, len(texts), BATCH):
-            found += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + BATCH], add_special_tokens=False)]
-        return found
+        self.known = Known(self.CACHE)
+
+    def _plain(self, word: str) -> bytes:
+        """The ids of a word of plain characters in lower case, as 32-bit integers."""
+        if not word.isalpha():
+            pieces = self.PIECE.findall(word)
+            if len(pieces) > 1:
+                return b"".join(map(self.known.__getitem__, pieces))
+        return array("I", [t.id for t in self.tokenize(word if word.isascii() else word.translate(self.written))]).tobytes()
+
+    def _any(self, word: str) -> bytes:
+        return self._whole(word) if self.OTHER.search(word) else self._plain(word.lower())
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _is_plain(self, text: str) -> bool:
+        try:
+            return not text.encode("latin-1").translate(None, self.PLAIN)
+        except UnicodeEncodeError:
+            return False
+
+    def _encode(self, text: str) -> bytes:
+        # Where all characters are plain, words are taken in lower case, so that the cache holds fewer.
+        plain = self._is_plain(text)
+        self.known.make = self._plain if plain else self._any
+        return b"".join(map(self.known.__getitem__, text.lower().split() if plain else self.WORD.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as 32-bit integers."""
         if not self.parts:
-            return self._whole([text])[0]
+            return self._whole(text)
         out, at = [], 0
         while at < len(text):
             cut = self.SPACE.search(text, at + WINDOW) if len(text) - at > WINDOW else None
             end = cut.end() if cut else len(text)
-            runs = self.OTHER.split(text[at:end])  # plain parts, and the words between them
-            others = self._whole(runs[1::2])
-            for i, run in enumerate(runs):
-                out.append(others[i // 2] if i % 2 else self._plain(run) if run else b"")
+            out.append(self._encode(text[at:end]))
             at = end
         return b"".join(out)
 
 
+@functools.cache
+def encoder_for(path: str) -> Encoder:
+    """One a worker process, with its cache."""
+    return Encoder(path)
+
+
 def pieces(documents: DataFrame, tokenizer_path: str, config: Config = Config(), keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every row; a document's ids end with config.end_id."""
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * keep_ids
     end = np.array([config.end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         for rows in slices(batches, CHUNK):
             out = []
             for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
