@@ -246,7 +246,11 @@ def one_of_each(documents: DataFrame, config: Config = Config()) -> DataFrame:
     """
     found = written(joined(documents, config), "jaccard-found")
     by_id = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("component"), F.count("*").alias("c")), "jaccard-ids")
-    out = documents.join(by_id.where("component < doc_id").select("doc_id"), "doc_id", "left_anti").select(documents.columns)
+    gone = by_id.where("component < doc_id").select("doc_id")
+    staying, asked = parted(documents, gone)
+    # An anti join would be moved below the one with the bits, and take all texts along.
+    found_gone = asked.join(gone.withColumn("_gone", F.lit(True)), "doc_id", "left").where("_gone is null")
+    out = staying.union(found_gone.select(documents.columns))
     repeated = by_id.where("c > 1").select("doc_id")
     if repeated.isEmpty():
         return out
@@ -255,6 +259,28 @@ def one_of_each(documents: DataFrame, config: Config = Config()) -> DataFrame:
     return single.union(hashed.dropDuplicates(["doc_id", "_lower_case"]).select(documents.columns))
 
 
+WORDS = 512  # of 64 bits in a row of bits
+ROWS = 1024  # of bits at most, 4 MB in all
+
+
+def parted(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of documents whose doc_id is surely none of these different ids, and the others, nearly all of which are.
+
+    Each id sets one of 16 bits an id, in a broadcast table of bounded size, so a join with the ids need not move the texts of all rows.
+    With more ids than fit its size, more rows are among the others.
+    """
+    spark = documents.sparkSession
+    rows = max(1, min(ROWS, -(-16 * ids.count() // (64 * WORDS))))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(rows * WORDS))
+    bit = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).cast("int")
+    set_bits = ids.select(place.alias("id"), bit.alias("bit")).groupBy("id").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("word"))
+    words = spark.range(rows * WORDS).join(set_bits, "id", "left").select(F.floor(F.col("id") / WORDS).alias("_row"), F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word")).alias("w"))
+    bits = written(words.groupBy("_row").agg(F.sort_array(F.collect_list("w"))["word"].alias("_bits")), "jaccard-gone-bits")
+    dealt = documents.withColumns({"_place": place, "_row": F.floor(place / WORDS), "_bit": bit}).join(F.broadcast(bits), "_row", "left")
+    hit = F.col("doc_id").isNotNull() & F.expr(f"(shiftright(_bits[cast(_place % {WORDS} as int)], _bit) & 1L) = 1")
+    return tuple(dealt.where(which).select(documents.columns) for which in (~hit, hit))
+
+
 def _pair(of: str, suffix: str = "") -> list:
     return [F.col(f"{of}{c}").alias(f"{name}{suffix}") for c, name in (("rep", "r"), ("n", "n"), ("position", "p"), ("rest", "rest"), ("sketch", "sketch"), ("label", "label"))]
 
