@@ -21,8 +21,10 @@ texts give equal ids; other columns of the input play no part.
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.words import slices, tidy
+from corpusloom.llm.words import Known, slices, tidy
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6  # kinds of pieces in the file format
@@ -46,8 +48,7 @@ def read_pieces(path: str) -> list[tuple[str, float, int]]:
 
 
 class Codec:
-    CACHE = 100_000  # parts
-    LONGEST = 40  # characters of a part in the cache
+    CACHE = 40 << 20  # bytes of a generation of parts, about
 
     def __init__(self, pieces: list[tuple[str, float, int]]):
         self.pieces = pieces
@@ -64,7 +65,8 @@ class Codec:
                 self.inside |= bool(re.search(f"[^{MARK}]{MARK}", piece))
         self.automaton.make_automaton()
         self.least = lowest - 10.0
-        self.cache: dict[str, np.ndarray] = {}
+        self.known = Known(self.CACHE)
+        self.known.make = lambda part: array("i", self.viterbi(part)).tobytes()
         self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def normalise(self, text: str) -> str:
@@ -72,52 +74,38 @@ class Codec:
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best segmentation of a normalised text, in one pass of the automaton."""
-        n = len(text)
-        best, came, piece = [0.0] + [None] * n, [0] * (n + 1), [-1] * (n + 1)
-        at = 0  # positions up to here are settled
-
-        def settle(upto: int) -> None:
-            # A position that no piece reaches is reached by the character before it.
-            nonlocal at
-            while at < upto:
-                at += 1
-                if best[at] is None:
-                    best[at], came[at], piece[at] = best[at - 1] + self.least, at - 1, -1
-
-        for end, (size, score, i) in self.automaton.iter(text):
-            begin, end = end + 1 - size, end + 1
-            settle(end - 1)
-            value = best[begin] + score
-            if best[end] is None or value > best[end]:  # longer pieces come first
-                best[end], came[end], piece[end] = value, begin, i
-            if size > 1 and best[end - 1] is not None:
-                # The single character may have no piece of its own, and still be part of the best way.
-                value = best[end - 1] + self.least
-                if value > best[end]:
-                    best[end], came[end], piece[end] = value, end - 1, -1
-        settle(n)
+        n, least = len(text), self.least
+        best, last = [0.0] + [-math.inf] * n, [None] * (n + 1)  # last: the piece that ends there, none for a single character
+        at = 0  # positions up to here are settled: the character before may have no piece of its own, and still be part of the best way
+
+        for end, piece in self.automaton.iter(text):
+            while at < end:
+                value, at = best[at] + least, at + 1
+                if value > best[at]:
+                    best[at], last[at] = value, None
+            size, score, _ = piece
+            end += 1
+            value = best[end - size] + score
+            if value > best[end]:  # longer pieces come first
+                best[end], last[end] = value, piece
+        while at < n:
+            value, at = best[at] + least, at + 1
+            if value > best[at]:
+                best[at], last[at] = value, None
         ids: list[int] = []
         while n:
-            if piece[n] >= 0:
-                ids.append(piece[n])
+            if last[n]:
+                size, _, i = last[n]
+                ids.append(i)
+                n -= size
             else:
-                raw = text[came[n] : n].encode("utf-8", "surrogatepass")
+                n -= 1
+                raw = text[n].encode("utf-8", "surrogatepass")
                 ids += [self.bytes[b] for b in reversed(raw)] if self.bytes else [self.unknown]
-            n = came[n]
         return ids[::-1]
 
     def _segmented(self, normalised: str) -> bytes:
-        found = []
-        for part in [normalised] if self.inside else self.parts.findall(normalised):
-            ids = self.cache.get(part)
-            if ids is None:
-                ids = np.array(self.viterbi(part), np.int32).tobytes()
-                if len(part) <= self.LONGEST:
-                    if len(self.cache) >= self.CACHE:
-                        self.cache.clear()
-                    self.cache[part] = ids
-            found.append(ids)
-        return b"".join(found)
+        return b"".join(map(self.known.__getitem__, [normalised] if self.inside else self.parts.findall(normalised)))
 
     def encode(self, text: str) -> np.ndarray:
         if MARK not in text or not self.bytes:
